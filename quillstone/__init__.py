@@ -1 +1,8 @@
 """A PySpark-native hybrid retrieval and knowledge-lifecycle engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
