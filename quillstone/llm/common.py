@@ -22,13 +22,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep an Arrow batch of whole texts small: at most `rows` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32) -> None:
+    """Bound an Arrow batch of whole texts, in rows and in bytes."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if now > most or now <= 0:
+            spark.conf.set(key, most)
 
 
 def bind(value: Column, body) -> Column:
     """`body(value)` with `value` computed once per row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Memo(dict):
+    """word -> function(word), emptied when it holds `most` words, so that its memory is bounded."""
+
+    def __init__(self, function, most: int = 400_000):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = self.function(word)
+        return value
