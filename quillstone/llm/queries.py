@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_chat", "q_tokens", "q_decontaminate")
+MODULES = ("q_chat", "q_topk", "q_tokens", "q_packing", "q_decontaminate")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
