@@ -1,6 +1,7 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other documents are unlabelled, whatever they may hold.
+Confirmed toxic documents are the positives; a sample of all documents, whatever their labels, is the
+unlabelled set.
 With the class prior p the risk of a scorer g is
 
     p * E_pos[loss(g)] + max(0, E_unl[loss(-g)] - p * E_pos[loss(-g)])
@@ -44,26 +45,27 @@ def features_of(word: bytes) -> tuple[int, ...]:
     return (zlib.crc32(b"=" + word) % BUCKETS, *(zlib.crc32(b"^" + w[:n].encode()) % BUCKETS for n in range(3, 7) if len(w) > n))
 
 
-def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of a linear scorer, by Adam on the corrected risk with logistic loss."""
+def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, slack: float = 0.0, seed: int = 7) -> np.ndarray:
+    """Weights (the last is the bias) of a linear scorer, by Adam on the corrected risk with sigmoid loss.
+
+    The correction starts when the negative part is below -slack * prior."""
     rng = np.random.default_rng(seed)
     p = np.hstack([positive, np.ones((len(positive), 1))]).astype(np.float32)
     u = np.hstack([unlabelled, np.ones((len(unlabelled), 1))]).astype(np.float32)
     w = np.zeros(p.shape[1])
+    w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    step = 0
-    parts = max(1, len(u) // 1500)
-    for _ in range(epochs // parts + 1):
+    step, parts = 0, max(1, len(u) // 1500)
+    for _ in range(epochs):
         orders = np.array_split(rng.permutation(len(p)), parts), np.array_split(rng.permutation(len(u)), parts)
         for at_p, at_u in zip(*orders):
             if not len(at_p) or not len(at_u):
                 continue
             x, y = p[at_p], u[at_u]
-            gp, gu = 1 / (1 + np.exp(-x @ w)), 1 / (1 + np.exp(-y @ w))
-            up = -(x * (1 - gp)[:, None]).mean(0)  # of loss(g) = log(1 + exp(-g)) on positives
-            down_p, down_u = (x * gp[:, None]).mean(0), (y * gu[:, None]).mean(0)
-            negative = -np.log1p(-np.minimum(gu, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(gp, 1 - 1e-7)).mean()
-            grad = prior * up + (down_u - prior * down_p) if negative >= 0 else prior * down_p - down_u
+            sp, su = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(y @ w, -30, 30)))
+            rise_p, rise_u = x.T @ (sp * (1 - sp)) / len(x), y.T @ (su * (1 - su)) / len(y)
+            negative = su.mean() - prior * sp.mean()
+            grad = rise_u - 2 * prior * rise_p if negative >= -slack * prior else prior * rise_p - rise_u
             grad = grad + decay * np.append(w[:-1], 0)
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -77,13 +79,18 @@ class Model:
 
 
 def _sample(rows: DataFrame, positives: int, unlabelled: int) -> DataFrame:
-    sizes = rows.agg(F.count_if("p"), F.count_if(~F.col("p"))).first()
-    most = F.when(F.col("p"), min(1.0, positives / max(1, sizes[0]))).otherwise(min(1.0, unlabelled / max(1, sizes[1])))
-    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("__c", chance).where(F.col("__c") < most).select("text", "p")
+    """Rows (text, p): sampled positives, and a sample of all rows, into which positives come as often as
+    they occur.  A row may be in both."""
+    sizes = rows.agg(F.count_if("p"), F.count("*")).first()
+
+    def chance(salt: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(salt), F.monotonically_increasing_id(), F.length("text")), F.lit(1 << 30)) / float(1 << 30)
+
+    drawn = rows.withColumns({"__p": F.col("p") & (chance(1) < positives / max(1, sizes[0])), "__u": chance(2) < unlabelled / max(1, sizes[1])})
+    return drawn.where("__p or __u").select("text", F.explode(F.filter(F.array(F.when(F.col("__p"), True), F.when(F.col("__u"), False)), lambda x: x.isNotNull())).alias("p"))
 
 
-def train(documents: DataFrame, toxic_ids: DataFrame, prior: float, positives: int = 2000, unlabelled: int = 6000, features: int = 4000, doc_id: str = "doc_id", text: str = "text") -> Model | None:
+def train(documents: DataFrame, toxic_ids: DataFrame, prior: float, positives: int = 2000, unlabelled: int = 6000, features: int = 1500, doc_id: str = "doc_id", text: str = "text") -> Model | None:
     """`toxic_ids` holds the ids of the confirmed toxic documents among `documents`."""
     small_batches(documents.sparkSession)
     marked = toxic_ids.select(F.col(doc_id).alias("__id")).where("__id is not null").distinct().withColumn("__t", F.lit(True))
@@ -106,7 +113,7 @@ def train(documents: DataFrame, toxic_ids: DataFrame, prior: float, positives: i
     counts = sample.mapInArrow(count, "f bigint, np bigint, nu bigint").groupBy("f").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
     # A mark of the positives alone is in the unlabelled at about the prior's part of its rate in the positives.
     lift = (F.col("np") / n_p) / (F.col("nu") / n_u + 0.5 / n_u)
-    chosen = [r["f"] for r in counts.where(F.col("np") >= max(3, n_p // 400)).where(lift >= 3.0).orderBy(F.desc("np"), "f").limit(features).select("f").collect()]
+    chosen = [r["f"] for r in counts.where(F.col("np") >= max(5, n_p // 100)).where(lift >= 4.5).orderBy(F.desc("np"), "f").limit(features).select("f").collect()]
     if not chosen:
         return Model({}, -4.0)
     index = {f: i for i, f in enumerate(sorted(chosen))}
