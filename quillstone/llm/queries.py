@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_chat", "q_topk", "q_tokens", "q_licenses", "q_packing", "q_decontaminate", "q_toxicity", "q_ngram", "q_langid")
+MODULES = ("q_chat", "q_topk", "q_tokens", "q_licenses", "q_packing", "q_secrets", "q_decontaminate", "q_toxicity", "q_ngram", "q_langid")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
