@@ -69,10 +69,16 @@ def script_of(word: str) -> int:
     return -1
 
 
-def grams(word: bytes) -> list[int]:
-    """Buckets of a word's trigrams and of the word."""
-    w = b"<" + word + b">"
-    return [zlib.crc32(w[i : i + 3]) % BUCKETS for i in range(len(w) - 2)] + [zlib.crc32(b"=" + word) % BUCKETS]
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of the trigrams of all words in order, bucket of each word itself).  A word of n bytes has n
+    trigrams, as it is bordered by < and >."""
+    data = np.frombuffer(b"".join([b"<%b>" % w for w in words]), np.uint8).astype(np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    inside = np.ones(len(data), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    at = np.flatnonzero(inside)
+    tri = ((data[at] << 16 | data[at + 1] << 8 | data[at + 2]) * np.uint32(2654435761)) >> np.uint32(16)
+    return tri.astype(np.int64), np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int64, len(words))
 
 
 class Model:
@@ -85,15 +91,15 @@ class Model:
         used &= scripts > 0
         self.allowed = np.where(used.any(0), used, True).T  # scripts x languages
 
-    def word_scores(self, word: bytes) -> np.ndarray | None:
-        """Clipped log posterior by language; None if the word has no letter."""
-        script = script_of(word.decode("utf-8", "ignore"))
-        if script < 0:
-            return None
-        s = self.log[grams(word)].sum(0)
-        s = np.where(self.allowed[script], s, -1e9)
-        s = s - s.max()
-        return np.maximum(s - np.log(np.exp(s).sum()), -CLIP)
+    def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(clipped log posterior of each word by language, whether the word has a letter)."""
+        tri, whole = grams(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        s = np.add.reduceat(self.log[tri], ends - np.diff(ends, prepend=0), axis=0) + self.log[whole]
+        scripts = np.fromiter((0 if w.isascii() else script_of(w.decode("utf-8", "ignore")) for w in words), np.int64, len(words))
+        s = np.where(self.allowed[scripts], s, -1e9)
+        s -= s.max(1, keepdims=True)
+        return np.maximum(s - np.log(np.exp(s).sum(1, keepdims=True)), -CLIP), scripts >= 0
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best language of each word (ties: the first language, and no switch)."""
@@ -135,20 +141,26 @@ class Tagger:
         self.table = np.zeros((1024, len(self.model.langs)), np.float32)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Row of each word in the table; -1 for words without a letter."""
+        """Row of each word in the table; -1 for words without a letter.  New words are scored together."""
         if len(self.at) > self.most:
             self.clear()
-        for w in set(words).difference(self.at):
-            s = self.model.word_scores(w)
-            k = self.at[w] = -1 if s is None else len(self.at)
-            if s is not None:
-                if k >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros((max(len(self.table), k + 1 - len(self.table)), self.table.shape[1]), np.float32)])
-                self.table[k] = s
+        new = list(set(words).difference(self.at))
+        if new:
+            scores, real = self.model.word_scores(new)
+            n = len(self.at)
+            while n + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[n : n + len(new)] = scores
+            self.at.update((w, k if r else -1) for k, (w, r) in enumerate(zip(new, real.tolist()), n))
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
-    def tag(self, text: bytes | None) -> dict:
-        ids = self.ids(words_of(text)) if text and self.model.langs else np.zeros(0, np.int64)
+    def tag_all(self, texts: list[bytes | None]) -> list[dict]:
+        cut = [words_of(t) if t and self.model.langs else [] for t in texts]
+        ids = self.ids([w for words in cut for w in words])
+        ends = np.cumsum([len(w) for w in cut])
+        return [self._tag(t, ids[e - len(w) : e]) for t, w, e in zip(texts, cut, ends)]
+
+    def _tag(self, text: bytes | None, ids: np.ndarray) -> dict:
         real = np.flatnonzero(ids >= 0)
         if not len(real):
             return {"lang": UNKNOWN, "score": 0.0, "spans": []}
@@ -190,13 +202,13 @@ def train(labelled: DataFrame, per_language: int = 1500, text: str = "text", lan
         for batch in batches:
             for own, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 counts, scripts = tables.setdefault(own, (np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)))
-                found: list[int] = []
-                for w in words_of(value):
-                    s = script_of(w.decode("utf-8", "ignore"))
-                    if s >= 0:
-                        scripts[s] += 1
-                        found += grams(w)
-                counts += np.bincount(np.array(found, np.int64), minlength=BUCKETS)
+                words = words_of(value)
+                of = [0 if w.isascii() else script_of(w.decode("utf-8", "ignore")) for w in words]
+                words = [w for w, s in zip(words, of) if s >= 0]
+                scripts += np.bincount([s for s in of if s >= 0], minlength=len(SCRIPT_NAMES))
+                if words:
+                    for found in grams(words):
+                        counts += np.bincount(found, minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(tables), pa.string()), *[pa.array([zlib.compress(t[k].tobytes(), 1) for t in tables.values()], pa.binary()) for k in (0, 1)]], names=["lang", "counts", "scripts"]
         )
@@ -219,7 +231,7 @@ def tagger(documents: DataFrame, model: Model):
         vars(model).update(said.value)
         own = Tagger(model)
         for batch in batches:
-            yield pa.array([own.tag(t) for t in batch.cast(pa.binary()).to_pylist()], _ARROW)
+            yield pa.array(own.tag_all(batch.cast(pa.binary()).to_pylist()), _ARROW)
 
     udf = F.arrow_udf(tag, TYPE)
     return lambda column: udf(F.col(column) if isinstance(column, str) else column)
@@ -238,7 +250,7 @@ def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return tagged.select("doc_id", "held_out", F.col("t.lang").alias("lang_pred"), F.col("t.score").alias("score"))
 
 
-def keep_known(documents: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_known(documents: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Documents whose language is known and holds at least `least` of their words; `lang` becomes it."""
     model = train(documents.where(~F.coalesce(fold(doc_id, 3) == 1, F.lit(False))), text=text, lang=lang)
     tagged = documents.withColumn("__lang", tagger(documents, model)(text))
