@@ -47,7 +47,7 @@ def ignore_rules(patterns: list[str]) -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """session, line_no (from 1), raw of JSON-lines files, one session a file."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("session"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("session"), "value")
     return raw.select("session", F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1).where("raw <> ''")
 
 
