@@ -146,3 +146,8 @@ def normalize_citations(text: Column) -> Column:
     # Inside marked groups and outside alike, every mention becomes a bracket.
     out = F.regexp_replace(out, r"(?<=\u0001|, )([0-9]+)(?=[^\u0001]*\u0002)", "Source $1")
     return F.regexp_replace(F.regexp_replace(out, r"\bSource ([0-9]+)", "[$1]"), "[\u0001\u0002]", "")
+
+
+def repo_identity(remote: Column, configured: Column, dirname: Column) -> Column:
+    """The key of a checkout: of its remote, else its configured name, else its folder's."""
+    return F.coalesce(repo_key(remote), F.nullif(F.trim(configured), F.lit("")), dirname)

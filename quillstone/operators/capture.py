@@ -109,3 +109,45 @@ def reducers(own: DataFrame) -> DataFrame:
 
 def citation(entry: Column, quote: Column) -> Column:
     return F.concat(F.lit("[#"), entry.cast("string"), F.lit("] "), quote)
+
+
+def verify_gate(settled: DataFrame, scores: DataFrame | None, threshold: float = 0.5) -> DataFrame:
+    """Notes whose evidence a verifier (session, claim_no, score) does not support become episodes, as do those
+    it fails on; with no verifier they stay."""
+    if scores is None:
+        return settled
+    ok = F.coalesce(F.col("score") >= threshold, F.lit(False)) | (F.col("kind") == "episode")
+    return settled.join(scores, ["session", "claim_no"], "left").withColumns({"kind": F.when(ok, F.col("kind")).otherwise("episode"), "supersedes": F.when(ok, F.col("supersedes"))}).drop("score")
+
+
+def due_sessions(reduced: DataFrame, state: DataFrame) -> DataFrame:
+    """Sessions with enough calls, and the line from which each goes on (state: session, offset)."""
+    return reduced.where(F.col("tool_calls") >= MIN_CALLS).join(state, "session", "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
+
+
+def unmarked(votes: DataFrame, marked: DataFrame) -> DataFrame:
+    """Votes (session, note_id, helpful) of notes not yet voted on in their session."""
+    return votes.dropDuplicates(["session", "note_id"]).join(marked, ["session", "note_id"], "left_anti")
+
+
+def plan_commands(planned: DataFrame, injected: DataFrame, proven_votes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(remember, supersede, vote) commands of a plan; only notes that the session was shown can be superseded
+    or voted on."""
+    shown = injected.select("session", "note_id").distinct()
+    remember = planned.select("session", "claim_no", "kind", "content", "anchors", F.lit("capture").alias("source"), citation(F.col("entry"), F.col("quote")).alias("evidence"))
+    supersede = planned.where("supersedes is not null").join(shown.withColumnRenamed("note_id", "supersedes"), ["session", "supersedes"], "left_semi").select("session", "claim_no", F.col("supersedes").alias("old_id"))
+    return remember, supersede, proven_votes.where("proven").join(shown, ["session", "note_id"], "left_semi").select("session", "note_id", "helpful")
+
+
+def prompts(rendered: DataFrame, existing: DataFrame, stale: DataFrame) -> DataFrame:
+    """session, prompt: existing and stale notes (session, note_id, kind, content), then the transcript."""
+    line = F.format_string("- #%d [%s] %s", "note_id", "kind", "content")
+    block = lambda df, name: df.groupBy("session").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias(name))
+    both = rendered.join(block(existing, "old"), "session", "left").join(block(stale, "due"), "session", "left")
+    part = lambda head, name: F.when(F.col(name).isNotNull(), F.concat(F.lit(head), name, F.lit("\n\n"))).otherwise("")
+    return both.select("session", F.concat(part("Existing notes:\n", "old"), part("Stale notes:\n", "due"), F.lit("Transcript:\n"), "text").alias("prompt"))
+
+
+def repo_relative(path: Column, root: Column) -> Column:
+    """The path below the root; null if it is elsewhere."""
+    return F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path))).when(~F.startswith(path, F.lit("/")), path)

@@ -143,3 +143,45 @@ def stale_anchors(anchors: DataFrame, files: DataFrame) -> DataFrame:
     """Anchors whose file is stored under another hash now (a file that is gone makes none stale)."""
     same = files.select("repo_id", "relpath", F.col("hash").alias("now"))
     return anchors.join(same, ["repo_id", "relpath"]).where("hash <> now").drop("now")
+
+
+def plan_index(disk: DataFrame, state: Snapshot, full: bool = False, max_files: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(uploads, deletes, counts) that bring the stored files of each repository up to those on disk (repo_key,
+    relpath, content, mtime_ms).  A repository with more than `max_files` files is refused."""
+    now = disk.withColumn("hash", xxh64_hex(F.col("content")))
+    crowded = now.groupBy("repo_key").agg(F.count("*").alias("n")).where(F.col("n") > max_files).first()
+    if crowded:
+        raise ValueError(f"{crowded.repo_key} has {crowded.n} files; at most {max_files} are indexed")
+    keys = ["repo_key", "relpath"]
+    repos = now.select("repo_key").distinct()
+    was = state.files.join(F.broadcast(repos), "repo_key", "left_semi").select(*keys, F.col("hash").alias("was"))  # one key a repository
+    both = now.join(was, keys, "full_outer")
+    action = F.when(F.col("hash").isNull(), "delete").when((F.col("hash") == F.col("was")) & F.lit(not full), "unchanged").otherwise("upsert")
+    told = both.withColumn("action", action)
+    counts = told.agg(F.count_if(F.col("action") == "upsert").alias("indexed"), F.count_if(F.col("action") == "unchanged").alias("unchanged"), F.count_if(F.col("action") == "delete").alias("deleted"))
+    return told.where("action = 'upsert'").select(*keys, "content", "mtime_ms"), told.where("action = 'delete'").select(*keys), counts
+
+
+def prune(state: Snapshot, repo_key: str) -> Snapshot:
+    """The state without a repository's files and chunks."""
+    return Snapshot(state.files.where(F.col("repo_key") != repo_key), state.chunks.where(F.col("repo_key") != repo_key))
+
+
+def query_vectors(queries: DataFrame, memo: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+    """(queries with `embedding`, the grown memo (query, embedding)): each distinct new text is embedded once."""
+    new = queries.select("query").distinct().join(memo, "query", "left_anti").withColumn("embedding", embed_with(embedder)(F.col("query")))
+    grown = memo.select("query", "embedding").unionByName(new)
+    return queries.join(grown, "query"), grown
+
+
+def write_snapshot(state: Snapshot, folder: str, version: int) -> None:
+    """A new version of all tables; readers see it once its mark is written last."""
+    state.files.write.mode("overwrite").parquet(f"{folder}/v={version}/files")
+    state.chunks.write.mode("overwrite").partitionBy("repo_key").parquet(f"{folder}/v={version}/chunks")
+    state.files.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{folder}/v={version}/committed")
+
+
+def read_snapshot(spark, folder: str, version: int) -> Snapshot:
+    spark.read.parquet(f"{folder}/v={version}/committed").first()  # fails if the version was not completed
+    none = empty_snapshot(spark)
+    return Snapshot(spark.read.schema(none.files.schema).parquet(f"{folder}/v={version}/files"), spark.read.schema(none.chunks.schema).parquet(f"{folder}/v={version}/chunks").select(*none.chunks.columns))

@@ -268,3 +268,34 @@ def source_stats(notes: DataFrame) -> DataFrame:
 
 def counts(notes: DataFrame) -> DataFrame:
     return notes.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "live").alias("live"), F.count_if(F.col("status") == "stale").alias("stale"), F.count_if(F.col("status") == "archived").alias("archived"))
+
+
+def remember(notes: DataFrame, vectors: DataFrame, anchors: DataFrame, commands: DataFrame, files: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(notes, vectors, anchors, rejected) after commands: seq, repo_id, kind, content, pain, cost, source,
+    embedding, anchors array<struct<relpath, start_line, end_line>>.
+
+    A command of an unknown kind or source, or with an anchor whose file is not indexed, is rejected whole."""
+    wanted = commands.select("seq", "repo_id", F.posexplode("anchors").alias("at", "a")).select("seq", "repo_id", "at", "a.*")
+    met, missing = resolve_anchors(wanted, files)
+    fine = commands.where(F.coalesce(valid(F.col("kind"), F.col("source")), F.lit(False))).join(missing.select("seq").distinct(), "seq", "left_anti")
+    last = notes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    numbered = fine.withColumn("k", F.row_number().over(Window.orderBy("seq"))).crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.col("k"))
+    own = surprises(numbered.select(F.col("id").alias("note_id"), "seq", "embedding"), vectors).withColumnRenamed("note_id", "id")
+    rows = numbered.join(own, "id").withColumn("salience", salience(F.col("surprise"), F.col("cost"), F.col("pain")))
+    zero, never = F.lit(0).cast("long"), F.lit(None).cast("long")
+    made = rows.select(
+        "id", "repo_id", "kind", "content", "salience", F.lit("live").alias("status"), never.alias("superseded_by"), F.lit(now).cast("long").alias("created_at"), F.lit(now).cast("long").alias("last_access"), zero.alias("access_count"),
+        zero.alias("helpful_count"), zero.alias("noise_count"), "source", never.alias("stale_at"), never.alias("helpful_at"), never.alias("reverified_at"), never.alias("contradicted_at"),
+    )
+    placed = rows.select(F.col("id").alias("note_id"), F.coalesce("repo_id", F.lit(0)).alias("part"), "embedding")
+    tied = met.join(rows.select("seq", F.col("id").alias("note_id")), "seq").select("note_id", F.col("at").alias("seq"), "repo_id", "relpath", "start_line", "end_line", "hash")
+    rejected = commands.join(fine.select("seq"), "seq", "left_anti").select("seq", "kind", "source")
+    return notes.unionByName(made.select(*notes.columns)), vectors.unionByName(placed.select(*vectors.columns)), anchors.unionByName(tied.select(*anchors.columns)), rejected
+
+
+def stale_lines(listed: DataFrame) -> DataFrame:
+    """id, line: tab-separated id, kind, paths and content of stale notes, escaped."""
+    from ..functions.text import escape_field
+
+    paths = F.array_join(F.transform(F.coalesce("paths", F.array().cast("array<string>")), lambda p: escape_field(p, True)), ",")
+    return listed.select("id", F.concat_ws("\t", F.col("id").cast("string"), "kind", paths, escape_field(F.col("content"))).alias("line"))

@@ -428,9 +428,10 @@ def quote_proof(spark, d):
 @query(
     """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, g"""
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS quiet_at, count(*) AS n FROM g GROUP BY user_id, g"""
 )
 def debounce_sessions(spark, d):
     from ..streaming.jobs import bursts
 
-    return bursts(table(spark, d, "events"), "1 hour")
+    told = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return bursts(table(spark, d, "events"), "1 hour").select("user_id", told("start").alias("first_seen"), told("end").alias("quiet_at"), "n")

@@ -98,3 +98,17 @@ def test_golden_sets_are_read(spark, tmp_path):
     (tmp_path / "g.toml").write_text('[meta]\nrepo = "r"\n[[case]]\nquery = "q"\nexpect = ["a.rs:3"]\n[[case]]\nquery = "p"\nexpect = ["b"]\npath_prefix = "src/"\n')
     rows = R.read_golden(spark, str(tmp_path / "g.toml")).collect()
     assert [(r.case_no, r.query, r.expect, r.path_prefix) for r in rows] == [(0, "q", ["a.rs:3"], None), (1, "p", ["b"], "src/")]
+
+
+def test_indexing_is_planned_and_snapshots_are_kept(spark, tmp_path):
+    state, _ = I.sync(I.empty_snapshot(spark), upload(spark, a_rs="fn a() {}\n", b_rs="fn b() {}\n"), spark.createDataFrame([], "repo_key string, relpath string"), I.HashEmbedder(8))
+    I.write_snapshot(state, str(tmp_path), 1)
+    state = I.read_snapshot(spark, str(tmp_path), 1)
+    uploads, deletes, counts = I.plan_index(upload(spark, a_rs="fn a() {}\n", c_rs="fn c() {}\n"), state)
+    assert {r.relpath for r in uploads.collect()} == {"c.rs"} and {r.relpath for r in deletes.collect()} == {"b.rs"} and tuple(counts.first()) == (1, 1, 1)
+    with pytest.raises(ValueError, match="at most"):
+        I.plan_index(upload(spark, a_rs="x", c_rs="y"), state, max_files=1)
+    assert I.prune(state, "r").chunks.count() == 0
+    q = spark.createDataFrame([(1, "one"), (2, "one"), (3, "two")], "query_id long, query string")
+    told, memo = I.query_vectors(q, spark.createDataFrame([("two", [9.0])], "query string, embedding array<float>"), I.HashEmbedder(8))
+    assert told.count() == 3 and memo.count() == 2 and told.where("query_id = 3").first().embedding == [9.0]

@@ -166,3 +166,18 @@ def test_work_lists(spark):
 
 def test_age_of_half_lives():
     assert math.isclose(K.HALF_LIFE_DAYS, 29.0)
+
+
+def test_remembering_checks_and_scores(spark):
+    notes, vectors = table(spark, [note(4)]), spark.createDataFrame([(4, 0, [1.0, 0.0])], "note_id long, part long, embedding array<float>")
+    anchors = spark.createDataFrame([], "note_id long, seq int, repo_id long, relpath string, start_line int, end_line int, hash string")
+    files = spark.createDataFrame([(1, "a.rs", "h")], "repo_id long, relpath string, hash string")
+    rows = [(1, 1, "fact", "x", None, None, "agent", [0.0, 1.0], [("a.rs", 1, 2)]), (2, None, "fact", "y", 10.0, 10.0, "capture", [0.0, 1.0], []), (3, 1, "what", "z", None, None, "agent", [1.0, 0.0], []), (4, 1, "fact", "w", None, None, "agent", [1.0, 0.0], [("gone.rs", None, None)])]
+    commands = spark.createDataFrame(rows, "seq long, repo_id long, kind string, content string, pain double, cost double, source string, embedding array<float>, anchors array<struct<relpath:string,start_line:int,end_line:int>>")
+    after, placed, tied, rejected = N.remember(notes, vectors, anchors, commands, files, NOW)
+    got = {r.id: r for r in after.collect()}
+    assert set(got) == {4, 5, 6} and got[5].salience == pytest.approx(0.25 + 0.12) and got[6].salience == pytest.approx(0.75)
+    assert {(r.note_id, r.part) for r in placed.collect()} == {(4, 0), (5, 1), (6, 0)} and [(r.note_id, r.hash) for r in tied.collect()] == [(5, "h")]
+    assert {r.seq for r in rejected.collect()} == {3, 4}
+    lines = N.stale_lines(N.stale_list(N.mark_stale(after, spark.createDataFrame([(5,)], "note_id long"), NOW), tied))
+    assert lines.first().line == "5\tfact\ta.rs\tx"

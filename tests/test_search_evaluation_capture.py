@@ -202,3 +202,34 @@ def test_votes_are_counted_once(spark, tmp_path):
 def test_bursts(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00.000"), (1, "2024-01-01 00:00:00.300"), (1, "2024-01-01 00:00:02.000"), (2, "2024-01-01 00:00:00.000")], "user_id long, t string").withColumn("ts", F.to_timestamp("t"))
     assert sorted((r.user_id, r.n) for r in jobs.bursts(rows).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_reranking_is_remembered(spark):
+    hits = spark.createDataFrame([(1, "q", i, 10 + i, f"d{i}") for i in range(3)], "query_id long, query string, pos int, chunk_id long, content string")
+    memo = spark.createDataFrame([], "key string, order array<long>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(query, documents):
+        calls.add(1)
+        return [float(i) for i in range(len(documents))]
+
+    first, memo = S.rerank_memo(hits, memo, scorer, 2, weight=100.0)
+    memo = spark.createDataFrame(memo.collect(), memo.schema)
+    n = calls.value
+    again, _ = S.rerank_memo(hits, memo, scorer, 2, weight=100.0)
+    assert [r.chunk_id for r in first.orderBy("pos").collect()] == [12, 11] == [r.chunk_id for r in again.orderBy("pos").collect()] and n > 0
+
+
+def test_plans_become_commands(spark):
+    planned = spark.createDataFrame([("s", 1, "fact", "c", ["a"], 2, "quote", 12), ("s", 2, "fact", "d", [], 2, "quote", 99)], "session string, claim_no int, kind string, content string, anchors array<string>, entry int, quote string, supersedes long")
+    shown = spark.createDataFrame([("s", 12), ("s", 13)], "session string, note_id long")
+    votes = spark.createDataFrame([("s", 13, True, True), ("s", 12, False, False), ("s", 77, True, True)], "session string, note_id long, helpful boolean, proven boolean")
+    remember, supersede, vote = C.plan_commands(planned, shown, votes)
+    assert {r.evidence for r in remember.collect()} == {"[#2] quote"} and [(r.claim_no, r.old_id) for r in supersede.collect()] == [(1, 12)] and [(r.note_id, r.helpful) for r in vote.collect()] == [(13, True)]
+    scores = spark.createDataFrame([("s", 1, 0.9)], "session string, claim_no int, score double")
+    assert {r.claim_no: r.kind for r in C.verify_gate(planned, scores).collect()} == {1: "fact", 2: "episode"} and C.verify_gate(planned, None) is planned
+    due = C.due_sessions(spark.createDataFrame([("s", 3), ("t", 2)], "session string, tool_calls long"), spark.createDataFrame([("s", 40)], "session string, offset long"))
+    assert [(r.session, r.offset) for r in due.collect()] == [("s", 40)]
+    text = C.prompts(spark.createDataFrame([("s", "T")], "session string, text string"), spark.createDataFrame([("s", 1, "fact", "x")], "session string, note_id long, kind string, content string"), spark.createDataFrame([], "session string, note_id long, kind string, content string")).first().prompt
+    assert text == "Existing notes:\n- #1 [fact] x\n\nTranscript:\nT"
+    assert spark.range(1).select(C.repo_relative(F.lit("/r/a/b"), F.lit("/r")).alias("a"), C.repo_relative(F.lit("/x/b"), F.lit("/r")).alias("b")).first() == ("a/b", None)
