@@ -45,7 +45,7 @@ def features_of(word: bytes) -> tuple[int, ...]:
     return (zlib.crc32(b"=" + word) % BUCKETS, *(zlib.crc32(b"^" + w[:n].encode()) % BUCKETS for n in range(3, 7) if len(w) > n))
 
 
-def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, slack: float = 0.0, seed: int = 7) -> np.ndarray:
+def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 100, rate: float = 0.05, decay: float = 1e-4, slack: float = 0.0, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of a linear scorer, by Adam on the corrected risk with sigmoid loss.
 
     The correction starts when the negative part is below -slack * prior."""
@@ -78,24 +78,27 @@ class Model:
         self.weights, self.bias = weights, bias
 
 
-def _sample(rows: DataFrame, positives: int, unlabelled: int) -> DataFrame:
-    """Rows (text, p): sampled positives, and a sample of all rows, into which positives come as often as
-    they occur.  A row may be in both."""
-    sizes = rows.agg(F.count_if("p"), F.count("*")).first()
+def _chance(salt: int, *of: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), *(of or (F.monotonically_increasing_id(),))), F.lit(1 << 30)) / float(1 << 30)
 
-    def chance(salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(salt), F.monotonically_increasing_id(), F.length("text")), F.lit(1 << 30)) / float(1 << 30)
 
-    drawn = rows.withColumns({"__p": F.col("p") & (chance(1) < positives / max(1, sizes[0])), "__u": chance(2) < unlabelled / max(1, sizes[1])})
-    return drawn.where("__p or __u").select("text", F.explode(F.filter(F.array(F.when(F.col("__p"), True), F.when(F.col("__u"), False)), lambda x: x.isNotNull())).alias("p"))
+def _sample(documents: DataFrame, toxic_ids: DataFrame, positives: int, unlabelled: int) -> DataFrame:
+    """Rows (text, p): documents of sampled toxic ids, and a sample of all documents, into which positives
+    come as often as they occur.  The ids are sampled before they meet the texts, so that they are few
+    enough to be sent to them and no text is shuffled but those of the sample."""
+    ids = toxic_ids.where("__id is not null").distinct()
+    picked = ids.where(_chance(1, "__id") < positives / max(1, ids.count()))
+    marked = documents.join(F.broadcast(picked), "__id").select("text")
+    marked = marked.where(_chance(2) < positives / max(1, marked.count()))
+    drawn = documents.select("text").where(_chance(3) < unlabelled / max(1, documents.count()))
+    return marked.withColumn("p", F.lit(True)).union(drawn.withColumn("p", F.lit(False)))
 
 
 def train(documents: DataFrame, toxic_ids: DataFrame, prior: float, positives: int = 2000, unlabelled: int = 6000, features: int = 1500, doc_id: str = "doc_id", text: str = "text") -> Model | None:
     """`toxic_ids` holds the ids of the confirmed toxic documents among `documents`."""
     small_batches(documents.sparkSession)
-    marked = toxic_ids.select(F.col(doc_id).alias("__id")).where("__id is not null").distinct().withColumn("__t", F.lit(True))
-    rows = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).where("text is not null").join(marked, "__id", "left").select("text", F.coalesce("__t", F.lit(False)).alias("p"))
-    sample = cut(_sample(rows, positives, unlabelled).repartition(8))
+    rows = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).where("text is not null")
+    sample = cut(_sample(rows, toxic_ids.select(F.col(doc_id).alias("__id")), positives, unlabelled).repartition(8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = Memo(features_of), np.zeros((2, BUCKETS), np.int32)
@@ -113,7 +116,7 @@ def train(documents: DataFrame, toxic_ids: DataFrame, prior: float, positives: i
     counts = sample.mapInArrow(count, "f bigint, np bigint, nu bigint").groupBy("f").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
     # A mark of the positives alone is in the unlabelled at about the prior's part of its rate in the positives.
     lift = (F.col("np") / n_p) / (F.col("nu") / n_u + 0.5 / n_u)
-    chosen = [r["f"] for r in counts.where(F.col("np") >= max(5, n_p // 100)).where(lift >= 4.5).orderBy(F.desc("np"), "f").limit(features).select("f").collect()]
+    chosen = [r["f"] for r in counts.where(F.col("np") >= max(5, n_p // 150)).where(lift >= 2.5).orderBy(F.desc("np"), "f").limit(features).select("f").collect()]
     if not chosen:
         return Model({}, -4.0)
     index = {f: i for i, f in enumerate(sorted(chosen))}
