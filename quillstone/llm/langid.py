@@ -233,7 +233,8 @@ def tagger(documents: DataFrame, model: Model):
         for batch in batches:
             yield pa.array(own.tag_all(batch.cast(pa.binary()).to_pylist()), _ARROW)
 
-    udf = F.arrow_udf(tag, TYPE)
+    # Not marked deterministic: else a filter on the result is moved below it and all texts are tagged twice.
+    udf = F.arrow_udf(tag, TYPE).asNondeterministic()
     return lambda column: udf(F.col(column) if isinstance(column, str) else column)
 
 

@@ -152,8 +152,9 @@ def near_copies(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_equal_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed,recent", [(1, 256), (2, 1)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, seed, recent):
+    monkeypatch.setattr(ngram_join, "RECENT", recent)
     docs = near_copies(seed, 150) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (1005, "one two"), (1006, "two one"), (1007, "q " * 30000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, component_id int").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(df).collect()}
