@@ -11,9 +11,10 @@ Steps, all over whole texts:
 3. Within the classes of an n-gram, a pair must pass the length filter, the positional filter (what can
    still follow the shared n-gram) and the suffix filter: with counts of each set in parts of the hash range,
    the sum of their differences bounds the symmetric difference from below.
-4. A first round takes of the passing pairs only as many as connect what passes, at most one fewer than an
-   n-gram has classes; each is verified once, from the two texts.  A second round takes every passing pair
-   that those links leave in different components and that was not verified before.  So a group of near
+4. A first round compares each class of an n-gram with the RECENT next smaller ones and takes of the passing
+   pairs only as many as connect what passes, at most one fewer than the n-gram has classes; each is verified
+   once, from the two texts.  A second round takes every passing pair, however far apart, that those links
+   leave in different components and that was not verified before.  So a group of near
    copies needs about one verification for each member, and no link between different texts is lost.
 5. Components by alternating stars.
 
@@ -38,6 +39,7 @@ from .components import components
 from .shingles import Hasher, text_buffers
 
 BITS, BLOCKS = 20, 16
+RECENT = 256
 _U = np.uint64
 
 
@@ -179,7 +181,8 @@ class Group:
                 low += 1
             if low == x:
                 continue
-            for y in self.passing(x, low, apart)[::-1].tolist():
+            # The first round looks at the nearest in size only; what that misses is for the second round.
+            for y in self.passing(x, low if apart is not None else max(low, x - RECENT), apart)[::-1].tolist():
                 if apart is not None:
                     yield y, x
                 elif find(y) != find(x):  # as if all that pass were links: a forest of them
