@@ -80,9 +80,9 @@ def binary_coarse(spark, d):
 
 @query()
 def ann_recall_curve(spark, d):
-    """Recall of the two-phase scan by the size of its first phase."""
+    """Recall of the two-phase scan by the size of its first phase, over every vector whose id is divisible by 20."""
     q, c = _vectors(spark, d)
-    q = q.join(q.groupBy("scope").agg(F.min("query_id").alias("query_id")), ["query_id", "scope"])
+    q = q.where("query_id % 20 = 0")
     exact = search.nearest(q, c, 10).persist()
     out = None
     for n in (100, 200, 400, 800, 1600):

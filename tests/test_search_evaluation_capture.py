@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from quillstone.operators import capture as C
 from quillstone.operators import evaluation as E
 from quillstone.operators import search as S
 from quillstone.operators.ingest import HashEmbedder
+from quillstone.plans import queries as P
 from quillstone.sources import models
 from quillstone.sources.records import read_lines
 from quillstone.streaming import jobs
@@ -64,6 +66,33 @@ def test_nearest_equals_brute_force(spark):
     assert S.nearest_adaptive(q, c, 1, 8).where("chunk_id = query_id").count() == 7 and S.nearest_coarse(q, c, 1, 8).where("chunk_id = query_id").count() == 7
 
 
+def test_coarse_search_by_blocks_of_queries(spark, monkeypatch):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = v.where("chunk_id % 9 = 0").withColumnRenamed("chunk_id", "query_id")
+    rows = lambda: sorted(map(tuple, S.nearest_coarse(q, v, 3, 64, 20).collect()))
+    whole = rows()
+    monkeypatch.setattr(S, "QUERY_BLOCK", 5)
+    assert rows() == whole and len(whole) == 3 * q.count()
+
+
+def test_recall_curve_over_every_twentieth_vector(spark):
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    v = np.array([r.embedding for r in rows], np.float64)
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    asked = [i for i, r in enumerate(rows) if r.vec_id % 20 == 0]
+    assert len(asked) > 10
+    want = {}
+    for n in (100, 200, 400, 800, 1600):
+        hits = 0
+        for i in asked:
+            far = 1 - v @ v[i]
+            near = np.argsort(((v > 0) != (v[i] > 0)).sum(1), kind="stable")[:n]
+            hits += int((np.sort(far[near])[:10] <= np.sort(far)[9] + 1e-6).sum())
+        want[n] = hits / (10 * len(asked))
+    assert {r.coarse_k: r.recall for r in P.ann_recall_curve(spark, d).collect()} == pytest.approx(want, abs=2e-6)
+
+
 def test_expansions(spark):
     symbols = spark.createDataFrame([("AuthLayer",), ("Store > replace_file_chunks",), ("unrelated",), ("get_crypto_quotes",), ("domains",)], "symbol string")
     q = spark.createDataFrame([(1, "auth middleware chunks"), (2, "cry dom")], "query_id long, query string")
