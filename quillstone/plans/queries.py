@@ -110,11 +110,11 @@ s AS (SELECT item_id AS query_id, doc_id AS chunk_id, -sum(greatest(1e-6, ln((n_
 lexical AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), chunk_id) - 1 AS rank FROM s QUALIFY rank < 10)"""
 
 
-def _lexical(spark, d):
+def _lexical(spark, d, k=10):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     all_ = search.lexical(q, c, 1 << 30, ["content"]).withColumn("score", F.round("score", 6)).drop("rank")  # rounded before ties are broken
-    return search.top(all_, ["query_id"], ["score", "chunk_id"], 10)
+    return search.top(all_, ["query_id"], ["score", "chunk_id"], k)
 
 
 @query(f"{_BM25} SELECT query_id, chunk_id, round(score, 6) AS score FROM lexical")
@@ -179,8 +179,8 @@ def recency_boost(spark, d):
 
 @query()
 def near_dup_greedy(spark, d):
-    """The lexical hits of each query without those too like a better one."""
-    rows = _lexical(spark, d).withColumn("score", -F.col("score")).join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
+    """Ten lexical hits of each query's CANDIDATES, without those too like a better one."""
+    rows = _lexical(spark, d, K.CANDIDATES).withColumn("score", -F.col("score")).join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
     return search.drop_near_duplicates(rows, 10).select("query_id", "chunk_id", "pos")
 
 

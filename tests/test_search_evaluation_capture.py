@@ -93,6 +93,14 @@ def test_recall_curve_over_every_twentieth_vector(spark):
     assert {r.coarse_k: r.recall for r in P.ann_recall_curve(spark, d).collect()} == pytest.approx(want, abs=2e-6)
 
 
+def test_dropped_copies_make_room_for_hits_beyond_the_tenth(spark, tmp_path):
+    others = [f"amber birch cedar {w} {w}s {w}ed {w}ing" for w in ("stone", "river", "cloud", "field")]
+    texts = ["amber birch cedar"] * 12 + others + [f"filler{i}" for i in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "amber birch cedar")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r.pos, r.chunk_id) for r in P.near_dup_greedy(spark, str(tmp_path)).collect()) == [(0, 0), (1, 12), (2, 13), (3, 14), (4, 15)]
+
+
 def test_expansions(spark):
     symbols = spark.createDataFrame([("AuthLayer",), ("Store > replace_file_chunks",), ("unrelated",), ("get_crypto_quotes",), ("domains",)], "symbol string")
     q = spark.createDataFrame([(1, "auth middleware chunks"), (2, "cry dom")], "query_id long, query string")
