@@ -8,8 +8,9 @@ With the class prior p the risk of a scorer g is
 
 and when the second part falls below zero the step goes up its gradient instead (the non-negative
 correction).  The scorer is linear over the presence of words and word beginnings; numpy trains it on the
-driver from a bounded sample.  Only beginnings and words that are over-represented among the positives are
-features, so that a long clean text gathers no weight from its many ordinary words.
+driver from a bounded sample.  Only beginnings and words that are over-represented among the positives,
+against the rate that the prior leaves to the negatives, are features, so that a long clean text gathers no
+weight from its many ordinary words.
 
 Bounds: at most about `positives` and `unlabelled` sampled rows and `features` features.  Counts for the
 choice of features come from that sample.  All rows are scored, from their whole texts.
@@ -114,9 +115,10 @@ def train(documents: DataFrame, toxic_ids: DataFrame, prior: float, positives: i
     if not n_p or not n_u:
         return None
     counts = sample.mapInArrow(count, "f bigint, np bigint, nu bigint").groupBy("f").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
-    # A mark of the positives alone is in the unlabelled at about the prior's part of its rate in the positives.
-    lift = (F.col("np") / n_p) / (F.col("nu") / n_u + 0.5 / n_u)
-    chosen = [r["f"] for r in counts.where(F.col("np") >= max(5, n_p // 150)).where(lift >= 2.5).orderBy(F.desc("np"), "f").limit(features).select("f").collect()]
+    # The unlabelled hold positives at the prior's share; what is left is the negatives' rate.
+    negative = F.greatest((F.col("nu") / n_u - prior * F.col("np") / n_p) / (1 - prior), F.lit(0.5 / n_u))
+    often = max(min(5, n_p), n_p // 150)
+    chosen = [r["f"] for r in counts.where(F.col("np") >= often).where(F.col("np") / n_p >= 2.5 * negative).orderBy(F.desc("np"), "f").limit(features).select("f").collect()]
     if not chosen:
         return Model({}, -4.0)
     index = {f: i for i, f in enumerate(sorted(chosen))}

@@ -232,6 +232,37 @@ def test_toxicity_cases(spark):
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
 
 
+def toxic_table(spark, copies, rows=1000):
+    """Documents of common words, toxic ones among them, one of which has `copies` copies; every second one is labelled."""
+    rng = random.Random(5)
+    plain = [f"plain{k}" for k in range(60)]
+    marks = [f"venom{chr(97 + k)}" for k in range(6)]
+    made = []
+    for _ in range(rows - copies):
+        toxic = rng.random() < 0.128
+        made.append((rng.sample(plain, 12) + (rng.sample(marks, 3) if toxic else []), int(toxic)))
+    made += [([*plain[:12], *marks[:4]], 1)] * copies
+    rng.shuffle(made)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, (w, _) in enumerate(made)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(made) if i % 2], "doc_id long, quality int, toxic int"), [t for _, t in made]
+
+
+@pytest.mark.parametrize("copies", [0, 450, 700])
+def test_toxicity_whatever_the_number_of_toxic_copies(spark, copies):
+    docs, labels, toxic = toxic_table(spark, copies)
+    rows = [r for r in toxicity.score_toxicity(docs, labels).collect() if r.held_out]
+    hit, false = ([r.predicted for r in rows if toxic[r.doc_id] == t] for t in (1, 0))
+    assert sum(hit) > 0.9 * len(hit) and sum(false) < 0.05 * len(false)
+
+
+def test_toxicity_of_three_positives(spark):
+    docs, _, toxic = toxic_table(spark, 0)
+    train = docs.where(~toxicity.held_out())
+    few = [r.doc_id for r in train.orderBy("doc_id").collect() if toxic[r.doc_id]][:3]
+    model = toxicity.train(train, spark.createDataFrame([(i,) for i in few], "doc_id long"), 0.1)
+    assert model.weights
+
+
 def test_training_corrects_for_the_prior():
     rng = np.random.default_rng(0)
     toxic = lambda n: np.hstack([rng.random((n, 3)) < 0.7, rng.random((n, 5)) < 0.3])
