@@ -88,6 +88,22 @@ def test_licences_by_digest(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string, license string, notices string")).count() == 0
 
 
+def test_licence_files_with_titles(spark):
+    files = [
+        ("MIT", f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{TEXTS['MIT']}\n"),
+        ("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n{TEXTS['BSD-2-Clause']}\n"),
+        ("ISC", f"All rights reserved.\n{TEXTS['ISC']}"),
+        (None, f"BSD 2-Clause License\n\n{TEXTS['MIT']}"),
+        (None, "MIT License"),
+        ("own", "Some Licence\n\nDo as you like."),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in scan_licenses(df).collect()}
+    assert [got[i] for i in range(6)] == [k for k, _ in files[:5]] + [None]
+    got = {r.doc_id: r.license for r in scan_licenses(df, texts=[("own", files[5][1])]).collect()}
+    assert [got[i] for i in range(6)] == [None] * 5 + ["own"]
+
+
 def brute_hits(text, items, window=13):
     words = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in s or ""))
     own, hit, found = words(text), set(), set()
