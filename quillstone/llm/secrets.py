@@ -115,7 +115,10 @@ def _one_of(words: list[str], salt: int) -> Column:
 
 
 def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
-    """Findings (value, before, after, path, label) of 12 kinds of secrets and 16 kinds of false positives."""
+    """Findings (value, before, after, path, label) of 12 kinds of secrets and 16 kinds of false positives.
+
+    Each kind occurs under plain paths and under those of tests, examples and fixtures; there, two kinds of
+    secrets are false positives."""
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa, any62 = num + "abcdef", low + up + num
     between = lambda a, b, salt: (F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(b - a + 1)) + a).cast("int")
@@ -143,7 +146,10 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (F.concat(_letters(low, between(6, 14, 73), 74), _letters(num, between(1, 2, 75), 76), _letters(low, between(2, 8, 77), 78)), plain), (_letters(num, between(6, 12, 79), 80), named),
     ]
     after, path = _one_of(["", " the", '"', "'", ",", " of", "\n", ". And"], 81), _one_of(["src/main.py", "app/config.yml", "notes.txt", "", "web", "data"], 82)
-    rows = [F.struct(v.alias("value"), b.alias("before"), after.alias("after"), path.alias("path"), F.lit(label).alias("label")) for label, own in ((1.0, secret), (0.0, wrong)) for v, b in own]
+    tried = _one_of(["tests/test_login.py", "examples/app.py", "fixtures/users.json", "src/test/Main.java", "mocks/api.js"], 83)
+    made_up = secret[3:5]  # assigned random strings of no issued kind: in tests and examples they are made up
+    kinds = [(1.0, path, secret), (0.0, path, wrong), (1.0, tried, [*secret[:3], *secret[5:]]), (0.0, tried, [*wrong, *made_up])]
+    rows = [F.struct(v.alias("value"), b.alias("before"), after.alias("after"), p.alias("path"), F.lit(label).alias("label")) for label, p, own in kinds for v, b in own]
     # Within a lambda these many expressions are evaluated as they are, not compiled into one method.
     made = spark.range(0, each, 1, 1).select(F.explode(F.flatten(F.transform(F.array("id"), lambda _: F.array(*rows)))).alias("r"))
     return made.select("r.*")

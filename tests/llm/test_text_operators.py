@@ -153,6 +153,21 @@ def test_forest_tells_held_out_findings(spark, forest):
     assert sum((r.s >= 0.5) == (r.label == 1) for r in rows) > 0.95 * len(rows)
 
 
+def test_forest_uses_the_path(spark, forest):
+    def used(t):
+        return {t[0]} | used(t[2]) | used(t[3]) if isinstance(t, tuple) else set()
+
+    assert FEATURES.index("test_path") in set().union(*map(used, forest.trees))
+    rng = random.Random(3)
+    values = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randint(14, 40))) + "7" for _ in range(60)]
+    keys = ["ghp_" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(36)) for _ in range(60)]
+    rows = [(p, f'{"password = " if v in values else "the "}{v}') for p in ("src/main.py", "tests/test_login.py") for v in values + keys]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, source string, text string")
+    got = [any(f.secret for f in r.scan.findings) for r in scan_secrets(df, forest=forest).orderBy("id").collect()]
+    share = [sum(got[k : k + 60]) / 60 for k in range(0, 240, 60)]
+    assert share[0] > 0.9 and share[1] > 0.9 and share[2] < 0.1 and share[3] > 0.9, share
+
+
 def test_trees_are_read():
     text = "DecisionTree\n  If (feature 0 <= 1.5)\n   Predict: 0.0\n  Else (feature 0 > 1.5)\n   If (feature 2 <= 3.0E-4)\n    Predict: 1.0\n   Else (feature 2 > 3.0E-4)\n    Predict: 0.0\n"
     assert read_tree(text) == (0, 1.5, 0.0, (2, 0.0003, 1.0, 0.0))
