@@ -6,14 +6,17 @@ them is the clipped log posterior of a naive Bayes model over character trigrams
 hashed into a table of fixed size.  A Viterbi pass over the words, with a penalty for each change of
 language, labels every word; runs of one label are the spans.
 
-When no other language gains more than the penalty on any run of words, the best path is constant, which
-prefix sums show without walking the text; only the other texts are walked.
+Each word's best rival of the language that is best in total is compared with it.  A path that leaves that
+language does so in runs, each of which costs a switch at least and gains no more than its best rivals do; so
+where no run of words gains more than the penalty that way, whatever the languages in it, the best path is
+constant, which prefix sums show.  All other texts are walked, those of a batch together.
 
-The model is trained from a sample of labelled documents, at most about `per_language` of each language
-(a documented bound); everything else covers all rows and whole texts.
+The model is trained from a sample of different labelled texts, at most about `per_language` of each language
+(a documented bound), drawn by a hash of the text; everything else covers all rows and whole texts.
 
 Defined cases: null text, and text without a letter, is `und` with score 0; ties go to the language that
-sorts first; with no labelled row at all every text is `und`; repeated rows are predicted alike.
+sorts first; with no labelled row at all every text is `und`; repeated rows are predicted alike; an empty table
+gives an empty result; extra columns, whatever their names, are kept by `keep_known` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -101,33 +104,53 @@ class Model:
         s -= s.max(1, keepdims=True)
         return np.maximum(s - np.log(np.exp(s).sum(1, keepdims=True)), -CLIP), scripts >= 0
 
-    def path(self, scores: np.ndarray) -> np.ndarray:
-        """The best language of each word (ties: the first language, and no switch)."""
-        total = scores.sum(0)
-        best = int(total.argmax())
-        for other in range(scores.shape[1]):
-            if other != best:
-                gain = np.concatenate([[0.0], np.cumsum(scores[:, other] - scores[:, best])])
-                if (gain - np.minimum.accumulate(gain)).max() > self.penalty:
-                    return self._viterbi(scores)
-        return np.full(len(scores), best, np.int64)
-
-    def _viterbi(self, scores: np.ndarray) -> np.ndarray:
-        n, m = scores.shape
-        came = np.empty((n, m), np.int32)
-        own = np.arange(m)
-        v = scores[0].astype(np.float64)
-        for t in range(1, n):
-            top = int(v.argmax())
-            switch = v[top] - self.penalty > v
-            came[t] = np.where(switch, top, own)
-            v = np.where(switch, v[top] - self.penalty, v) + scores[t]
-        out = np.empty(n, np.int64)
-        out[-1] = int(v.argmax())
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = came[t, out[t]]
+    def constant(self, scores: np.ndarray) -> int | None:
+        """The language of the best path, where it is certain that this path keeps to one."""
+        best = int(scores.sum(0).argmax())
+        if scores.shape[1] > 1:
+            rival = np.delete(scores, best, 1).max(1) - scores[:, best]
+            gain = np.concatenate([[0.0], np.cumsum(rival)])
+            if (gain - np.minimum.accumulate(gain)).max() > self.penalty:
+                return None
+        return best
+
+    def paths(self, texts: list[np.ndarray], cells: int = 1 << 22) -> list[np.ndarray]:
+        """The best language of each word of each text (ties: the first language, and no switch).
+
+        `texts` are the scores of their words by language.  Up to about `cells` numbers are walked at once."""
+        sure = [self.constant(s) for s in texts]
+        out = [np.full(len(s), -1 if c is None else c, np.int64) for s, c in zip(texts, sure)]
+        open_ = sorted((k for k, c in enumerate(sure) if c is None), key=lambda k: -len(texts[k]))
+        while open_:
+            some = open_[: max(1, cells // texts[open_[0]].size)]
+            open_ = open_[len(some) :]
+            for k, path in zip(some, self._walk([texts[k] for k in some])):
+                out[k] = path
         return out
 
+    def _walk(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi over texts that are in order of length, the longest first."""
+        lengths = np.array([len(s) for s in texts])
+        n, m = int(lengths[0]), texts[0].shape[1]
+        scores, came, own = np.zeros((n, len(texts), m)), np.zeros((n, len(texts), m), np.int16), np.arange(m)
+        for k, s in enumerate(texts):
+            scores[: len(s), k] = s
+        v = scores[0].copy()
+        alive = np.searchsorted(-lengths, -np.arange(n), side="left")  # texts with more than t words
+        for t in range(1, n):
+            now = v[: alive[t]]
+            top = now.argmax(1)
+            moved = now[np.arange(len(now)), top] - self.penalty
+            switch = moved[:, None] > now
+            came[t, : len(now)] = np.where(switch, top[:, None], own)
+            v[: len(now)] = np.where(switch, moved[:, None], now) + scores[t, : len(now)]
+        at, path = v.argmax(1), np.zeros((n, len(texts)), np.int64)
+        for t in range(n - 1, -1, -1):
+            path[t, : alive[t]] = at[: alive[t]]
+            if t:
+                at[: alive[t]] = came[t, np.arange(alive[t]), at[: alive[t]]]
+        return [path[: len(s), k] for k, s in enumerate(texts)]
+
 
 class Tagger:
     """Labels texts; remembers the scores of a bounded number of words."""
@@ -158,14 +181,16 @@ class Tagger:
         cut = [words_of(t) if t and self.model.langs else [] for t in texts]
         ids = self.ids([w for words in cut for w in words])
         ends = np.cumsum([len(w) for w in cut])
-        return [self._tag(t, ids[e - len(w) : e]) for t, w, e in zip(texts, cut, ends)]
-
-    def _tag(self, text: bytes | None, ids: np.ndarray) -> dict:
-        real = np.flatnonzero(ids >= 0)
-        if not len(real):
-            return {"lang": UNKNOWN, "score": 0.0, "spans": []}
-        scores = self.table[ids[real]].astype(np.float64)
-        path = self.model.path(scores)
+        own = [ids[e - len(w) : e] for w, e in zip(cut, ends)]
+        real = [np.flatnonzero(i >= 0) for i in own]
+        scores = [self.table[i[r]].astype(np.float64) for i, r in zip(own, real)]
+        worded = [k for k, r in enumerate(real) if len(r)]
+        out = [{"lang": UNKNOWN, "score": 0.0, "spans": []} for _ in texts]
+        for k, path in zip(worded, self.model.paths([scores[k] for k in worded])):
+            out[k] = self._tag(texts[k], real[k], scores[k], path)
+        return out
+
+    def _tag(self, text: bytes, real: np.ndarray, scores: np.ndarray, path: np.ndarray) -> dict:
         share = np.bincount(path, minlength=len(self.model.langs))
         lang = int(share.argmax())
         total = scores.sum(0)
@@ -185,17 +210,18 @@ class Tagger:
 
 
 def train(labelled: DataFrame, per_language: int = 1500, text: str = "text", lang: str = "lang") -> Model:
-    """A model from about `per_language` documents of each language at most, chosen by row.
+    """A model from about `per_language` different texts of each language at most, chosen by their hash.
 
-    Tasks send the driver a table of fixed size for each language they meet."""
+    Tasks make a table of fixed size for each language they meet; the tables of a language are added up in two
+    steps, and the driver gets one of each language."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPT_NAMES))))
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))])
-    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.withColumn("chance", chance).where(F.col("chance") < F.element_at(share, F.col("lang"))).select("lang", "text")
+    drawn = rows.withColumn("key", F.xxhash64("text")).where(F.pmod("key", F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang")))
+    sample = drawn.dropDuplicates(["lang", "key"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -213,9 +239,22 @@ def train(labelled: DataFrame, per_language: int = 1500, text: str = "text", lan
             [pa.array(list(tables), pa.string()), *[pa.array([zlib.compress(t[k].tobytes(), 1) for t in tables.values()], pa.binary()) for k in (0, 1)]], names=["lang", "counts", "scripts"]
         )
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            for own, *data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                tables = [np.frombuffer(zlib.decompress(d), np.int64) for d in data]
+                total[own] = [a + b for a, b in zip(total[own], tables)] if own in total else tables
+        packed = [pa.array([zlib.compress(t[k].tobytes(), 1) for t in total.values()], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *packed], names=["lang", "counts", "scripts"])
+
+    schema = "lang string, counts binary, scripts binary"
+    tables = sample.mapInArrow(count, schema)
+    for salt in (F.pmod(F.xxhash64("counts"), F.lit(32)), F.lit(0)):
+        tables = tables.repartition("lang", salt).mapInArrow(add_up, schema)
     langs = sorted(sizes)
     counts, scripts = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), len(SCRIPT_NAMES)))
-    for r in sample.mapInArrow(count, "lang string, counts binary, scripts binary").toLocalIterator():
+    for r in tables.collect():  # one row a language
         counts[langs.index(r["lang"])] += np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
         scripts[langs.index(r["lang"])] += np.frombuffer(zlib.decompress(bytes(r["scripts"])), np.int64)
     return Model(langs, counts, scripts)
@@ -254,6 +293,7 @@ def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 def keep_known(documents: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Documents whose language is known and holds at least `least` of their words; `lang` becomes it."""
     model = train(documents.where(~F.coalesce(fold(doc_id, 3) == 1, F.lit(False))), text=text, lang=lang)
-    tagged = documents.withColumn("__lang", tagger(documents, model)(text))
-    kept = tagged.where((F.col("__lang.lang") != UNKNOWN) & (F.col("__lang.score") >= least))
-    return kept.withColumn(lang, F.col("__lang.lang")).select(*documents.columns)
+    name = free_name(documents, "__lang")
+    tagged = documents.withColumn(name, tagger(documents, model)(text))
+    kept = tagged.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= least))
+    return kept.withColumn(lang, F.col(f"{name}.lang")).select(*documents.columns)
