@@ -41,8 +41,9 @@ class Encoder:
     """Ids of whole texts by a byte-level tokenizer file, as little-endian 32-bit numbers.
 
     Where the file's merges are in the order of their ids, its ids are also those of the ranked byte-pair
-    encoder, which is several times faster; texts that hold one of the file's own special tokens, and files
-    with another order or another splitting, go to the tokenizer itself."""
+    encoder, which is several times faster; texts that hold one of the file's own special tokens, texts whose runs
+    are too long for that encoder's splitting (a million blanks), and files with another order or another
+    splitting go to the tokenizer itself."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -66,9 +67,12 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.ranked is None or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        if self.ranked is not None and not any(s in text for s in self.special):
+            try:
+                return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            except ValueError:  # its splitting gave up on a long run
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
