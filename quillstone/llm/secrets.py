@@ -1,9 +1,10 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are found line by line: values assigned to a secret-like name, issued key ids, runs of ten or
-more token characters with a digit in reach, and headers of private keys.  Each candidate is described by its length,
-its transitions between character classes, the part of it that dictionary words cover, whether it looks
-like a path (and whether the row's own path is of tests or examples), and the words around it.  A random
+Candidates are found line by line: values of six or more characters assigned to a secret-like name, issued key
+ids, runs of ten or more token characters with a digit, and private keys from their header to their end line (or, if
+there is none, to the last base64 line).  Each candidate is described by its length, its transitions between
+character classes, the part of it that dictionary words cover, whether it looks like a path (and whether the row's own
+path is of tests or examples), and the words around it (the 40 characters before it, white space squeezed).  A random
 forest, trained from labelled findings, votes on it; its trees are nested conditions over these columns,
 so scoring stays within the row and needs no shuffle.
 
@@ -11,8 +12,10 @@ The forest is trained by Spark's own trainer from `labelled_findings`, a fixed n
 candidates made by rule, or from any table of the same columns.
 
 Defined cases: null text has no candidates and stays null; an empty text stays empty; spans are (line,
-column, length) in code points, counted from 0; repeated rows are scanned alike; other columns are kept, and
-those that clash with a result column are refused by `scan_secrets` only if they are its text or path.
+column, length) in code points, counted from 0, a private key having the line breaks within it in its length;
+a null path is no path; repeated rows are scanned alike; an empty table gives an empty result; other columns are
+kept, and `scan_secrets` refuses a table that has its result column already.  A text with the control character
+U+0001 has its private keys masked line by line only.
 """
 
 from __future__ import annotations
@@ -23,23 +26,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind
-
-NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret|credential"
-GENERIC = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{10,}+={0,2}"
-ASSIGNED = f"(?<=(?i:{NAMES})[\"']?\\s{{0,3}}[:=]\\s{{0,3}}[\"']?)[^\\s\"',;<>]{{6,}}+"
-HEADER = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+from .common import bind, free_name
+
+NAMES = "password|passwd|pwd|passphrase|(?<![A-Za-z])pass|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret|credential"
+SIGN = "[\"']?\\s*+[:=]{1,2}+>?+\\s*+[\"']?"
+#: A name that a value is assigned to is no token itself.
+GENERIC = f"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{10,}}+(?!(?<=(?i:{NAMES}))[\"']?\\s*+[:=](?!=))={{0,2}}"
+ASSIGNED = f"(?i:{NAMES}){SIGN}(?=[^\\s\"',;<>]{{6}})[^\\s\"',;<>]++"
+HEADER = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+_BODY = "A-Za-z0-9+/=:,.\\s\\x01\\\\"
+#: A private key; within a line, its line breaks are written U+0001.
+BLOCK = f"{HEADER}(?:[{_BODY}]*+(?:-[{_BODY}]++){{0,50}}+-----END [A-Z0-9 ]*PRIVATE KEY-----|(?:[A-Za-z0-9+/=\\r\\n\\x01]*[A-Za-z0-9+/=](?![^\\r\\n\\x01]))?)"
 ISSUED = "(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"  # may have no digit
-CANDIDATE = f"{HEADER}|{ISSUED}|{ASSIGNED}|{GENERIC}"
+CANDIDATE = f"{BLOCK}|{ASSIGNED}|{ISSUED}|{GENERIC}"
 #: A line without this has no candidate.
-HINT = f"{GENERIC}|{ISSUED}|(?i:{NAMES})[\"']?\\s{{0,3}}[:=]|{HEADER}"
+HINT = f"{GENERIC}|{ISSUED}|(?i:{NAMES})[\"']?\\s*+[:=]|{HEADER}"
 MASK = "[SECRET]"
 
 # Common words of code and prose.
 DICTIONARY = """about account address admin after again all also and any api app array assert auth base block body book build button cache call card case change chapter char check child class clear client clone close code color column command commit common component config content context control copy count create current custom data database date day debug default delete demo depend device dir disk display document domain down drive driver dummy edit element email enable end error event example export factory false field file filter final find first float folder font for form format frame from front function game get github given global graph group handle hash header height hello help home host html http image import index info init input insert install instance int integer internal invoice item java job json key label language last layout length level lib library license like line link list load local lock log login long loop main make manager map mark master max memory menu message method min mode model module month move name native net network new next node note null number object offset open option order other out output owner package page param parent parse part pass patch path pattern phone placeholder plain play plugin point port post prefix print private process product profile project property public query queue random range read record ref release remote remove report request require reset resource response result return root route row rule run sample save scale schema screen script search section select send serial server service session set setting shape short show side simple single size some sort source space spec src stack stage standard start state static status step stop storage store stream string style sub success suffix switch symbol sync system table tag target task temp template test text that the theme this thread time title tmp token tool top total trace track tree true type unit unknown update upload url user utf util value var vector version video view web week where while widget width window with word work world write year your zone""".split()
 KNOWN = "^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk_(live|test)_|rk_live_|eyJ[A-Za-z0-9]|glpat-|-----BEGIN)"
 BENIGN = "(?i)(sha-?[0-9]*|md5|commit|checksum|digest|hash|uuid|guid|isbn|issn|doi|order|invoice|phone|tel|fax|card|version|build|example|sample|dummy|placeholder|page|chapter|section|serial|id|no|figure)[\\s:.=#\"'(-]{0,4}$"
-FEATURES = ["length", "transitions", "runs", "digits", "upper", "distinct", "dictionary", "hex", "uuid", "known", "slashes", "dots", "test_path", "named", "near_secret", "near_benign", "quoted", "after_word"]
+FEATURES = ["length", "transitions", "runs", "digits", "upper", "distinct", "dictionary", "hex", "uuid", "known", "slashes", "dots", "test_path", "named", "near_secret", "near_benign", "quoted", "after_word", "password"]
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -55,7 +63,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
     runs = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")).cast("double")
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
-    near = F.right(before, F.lit(40))
+    near = F.right(F.regexp_replace(before, r"\s+", " "), F.lit(40))
     return [
         n,
         (runs - 1) / F.greatest(n - 1, F.lit(1.0)),
@@ -70,11 +78,12 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
         _share(value, "/"),
         _share(value, "[._-]"),
         yes(F.lower(F.coalesce(path, F.lit(""))).rlike("test|example|sample|fixture|mock|doc")),
-        yes(near.rlike(f"(?i)({NAMES})[\"']?\\s{{0,3}}[:=]\\s{{0,3}}[\"']?$")),
+        yes(near.rlike(f"(?i)({NAMES}){SIGN}$")),
         yes(near.rlike(f"(?i)({NAMES}|bearer|authorization|private)")),
         yes(near.rlike(BENIGN)),
         yes(near.rlike("[\"'`]$")),
         yes(after.rlike("^\\s+[A-Za-z]")),
+        yes(near.rlike(f"(?i)(pass(word|wd|phrase)?|pwd){SIGN}$")),
     ]
 
 
@@ -115,9 +124,9 @@ def _one_of(words: list[str], salt: int) -> Column:
 
 
 def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
-    """Findings (value, before, after, path, label) of 12 kinds of secrets and 16 kinds of false positives.
+    """Findings (value, before, after, path, label) of 16 kinds of secrets and 19 kinds of false positives.
 
-    Each kind occurs under plain paths and under those of tests, examples and fixtures; there, two kinds of
+    Each kind occurs under plain paths and under those of tests, examples and fixtures; there, six kinds of
     secrets are false positives."""
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa, any62 = num + "abcdef", low + up + num
@@ -127,6 +136,8 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     word = lambda salt: _one_of(DICTIONARY, salt)
     fixed = lambda n: F.lit(n)
     uuid = F.concat_ws("-", *[_letters(hexa, fixed(n), 30 + i) for i, n in enumerate((8, 4, 4, 4, 12))])
+    opened = F.concat(_one_of(["password", "Password", "passwd", "pwd", "DB_PASS", "pass", "passphrase"], 84), _one_of(["=", ": ", " = ", '="', ' = "', ": '"], 85))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), between(1, 20, 86)), lambda i: _letters(any62 + "+/", fixed(64), 87)), "\n")
     upper_words = F.upper(F.concat(word(51), word(52), word(53)))
     secret = [
         (F.concat(F.lit("AKIA"), _letters(up + "234567", fixed(16), 4)), plain), (F.concat(F.lit("AKIA"), _letters(up + num, fixed(16), 5)), named),
@@ -134,6 +145,9 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (_letters(any62 + "+/", between(24, 64, 11), 12), named), (F.concat(F.lit("ghp_"), _letters(any62, fixed(36), 13)), plain), (F.concat(F.lit("sk_live_"), _letters(any62, fixed(24), 14)), plain),
         (F.concat(F.lit("eyJ"), _letters(any62, between(20, 60, 15), 16)), plain), (F.concat(F.lit("AIza"), _letters(any62 + "_-", fixed(35), 17)), plain),
         (F.concat(F.lit("xoxb-"), _letters(num, fixed(12), 18), F.lit("-"), _letters(any62, fixed(24), 19)), plain), (F.concat(F.lit("-----BEGIN "), _one_of(["", "RSA ", "EC "], 20), F.lit("PRIVATE KEY-----")), F.lit("")),
+        (F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), lines, F.lit("\n-----END PRIVATE KEY-----")), F.lit("")),
+        (F.concat(_letters(low, between(4, 8, 88), 89), _letters(num, between(1, 4, 90), 91), _letters(low, between(0, 8, 92), 93)), opened),
+        (F.concat(word(94), word(95), word(96), _letters(low, between(2, 6, 97), 98)), opened), (_letters(low, between(10, 20, 99), 100), opened),
     ]
     wrong = [
         (_letters(hexa, fixed(40), 21), _one_of(["commit ", "sha1 ", "sha: ", "checksum ", "digest: ", "hash "], 22)), (_letters(hexa, fixed(32), 23), _one_of(["md5 ", "md5: ", "hash: ", "checksum ", "id "], 24)),
@@ -144,11 +158,15 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (F.concat(word(63), word(64), word(65), _letters(num, between(1, 4, 66), 67)), plain), (upper_words, named), (_one_of(["changeme", "your-token", "<secret>", "placeholder", "example", "xxxxxxxx", "********", "password123", "none-given", "process.env"], 68), named),
         (F.concat(F.lit("${"), F.upper(word(69)), F.lit("_"), F.upper(word(70)), F.lit("}")), named), (F.concat(word(71), F.lit("."), word(72), F.lit("()")), named),
         (F.concat(_letters(low, between(6, 14, 73), 74), _letters(num, between(1, 2, 75), 76), _letters(low, between(2, 8, 77), 78)), plain), (_letters(num, between(6, 12, 79), 80), named),
+        (_one_of(["required", "optional", "string", "String", "incorrect", "invalid", "expired", "missing", "needed", "changed", "protected", "forgotten", "hidden", "disabled", "enabled", "manager", "policy", "boolean", "varchar"], 101), opened),
+        (F.concat(_one_of(["os.environ[", "self.", "args.", "user.", "config.", "settings.", "request.form[", "process.env.", "$", "getpass.", "input("], 102), _one_of(["password", "passwd", "pass_word", "getpass()", "secret_value"], 103)), opened),
+        (F.concat(_one_of(["get", "read", "load", "make", "hash", "check"], 104), F.initcap(word(105)), F.lit("(")), opened),
     ]
     after, path = _one_of(["", " the", '"', "'", ",", " of", "\n", ". And"], 81), _one_of(["src/main.py", "app/config.yml", "notes.txt", "", "web", "data"], 82)
     tried = _one_of(["tests/test_login.py", "examples/app.py", "fixtures/users.json", "src/test/Main.java", "mocks/api.js"], 83)
-    made_up = secret[3:5]  # assigned random strings of no issued kind: in tests and examples they are made up
-    kinds = [(1.0, path, secret), (0.0, path, wrong), (1.0, tried, [*secret[:3], *secret[5:]]), (0.0, tried, [*wrong, *made_up])]
+    # Assigned strings of no issued kind: in tests and examples they are made up.
+    made_up = [*secret[3:6], *secret[13:]]
+    kinds = [(1.0, path, secret), (0.0, path, wrong), (1.0, tried, [*secret[:3], *secret[6:13]]), (0.0, tried, [*wrong, *made_up])]
     rows = [F.struct(v.alias("value"), b.alias("before"), after.alias("after"), p.alias("path"), F.lit(label).alias("label")) for label, p, own in kinds for v, b in own]
     # Within a lambda these many expressions are evaluated as they are, not compiled into one method.
     made = spark.range(0, each, 1, 1).select(F.explode(F.flatten(F.transform(F.array("id"), lambda _: F.array(*rows)))).alias("r"))
@@ -184,42 +202,75 @@ def read_tree(text: str):
     return node()
 
 
+def _sums_before(steps: Column, block: int = 512) -> Column:
+    """For each number of an array, the sum of those before it; in two levels, so that no long array is copied for each."""
+    own = lambda x, first: F.aggregate(x, F.struct(first.alias("at"), F.array().cast("array<int>").alias("own")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["own"], F.array(a["at"])).alias("own")))["own"]
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / block).cast("int")), lambda b: F.slice(steps, b * block + 1, F.lit(block)))
+    whole = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    return bind(blocks, lambda bs: F.flatten(F.zip_with(bs, own(F.transform(bs, whole), F.lit(0)), own)))
+
+
 def scan_lines(text: Column, path: Column, forest: Forest, threshold: float = 0.5) -> Column:
     """A struct of `findings` (line, column, value, score, secret) and the `masked` text."""
     finding = "array<struct<line:int,column:int,value:string,score:double,secret:boolean>>"
-
-    def one(line: Column, i: Column) -> Column:
-        values, parts = F.regexp_extract_all(line, F.lit(CANDIDATE), F.lit(0)), F.split(line, CANDIDATE, -1)
-        pairs = F.arrays_zip(values.alias("value"), F.slice(parts, 1, F.size(values)).alias("before"), F.slice(parts, 2, F.size(values)).alias("after"))
-        told = F.transform(pairs, lambda p: F.struct(p["value"].alias("value"), p["before"].alias("before"), F.struct(*[c.alias(n) for c, n in zip(features(p["value"], p["before"], p["after"], path), FEATURES)]).alias("x")))
+    def one(line: Column, at_line: Column, keyed: Column) -> Column:
+        broken = lambda x: F.when(keyed, F.replace(x, F.lit("\x01"), F.lit("\n"))).otherwise(x)
+        found, parts = F.regexp_extract_all(line, F.lit(CANDIDATE), F.lit(0)), F.split(line, CANDIDATE, -1)
+        pairs = F.arrays_zip(found.alias("found"), F.slice(parts, 1, F.size(found)).alias("before"), F.slice(parts, 2, F.size(found)).alias("after"))
+        # What an assigned value is assigned to belongs to the text before it.
+        lead = lambda p: F.regexp_extract(p["found"], f"^(?i:{NAMES}){SIGN}", 0)
+        cutup = F.transform(pairs, lambda p: F.struct(F.substr(p["found"], F.length(lead(p)) + 1).alias("value"), F.concat(p["before"], lead(p)).alias("before"), p["after"].alias("after")))
+        told = F.transform(cutup, lambda p: F.struct(p["value"].alias("value"), p["before"].alias("before"), F.struct(*[c.alias(n) for c, n in zip(features(p["value"], p["before"], p["after"], path), FEATURES)]).alias("x")))
         scored = F.transform(told, lambda p: F.struct(p["value"].alias("value"), p["before"].alias("before"), forest.column(p["x"]).alias("score")))
-        # Columns of a line's candidates: lengths of what stands before, added up.
-        placed = F.aggregate(
-            scored,
-            F.struct(F.lit(0).alias("at"), F.array().cast(finding).alias("own")),
-            lambda a, p: F.struct(
-                (a["at"] + F.length(p["before"]) + F.length(p["value"])).alias("at"),
-                F.concat(a["own"], F.array(F.struct(i.cast("int").alias("line"), (a["at"] + F.length(p["before"])).alias("column"), p["value"].alias("value"), p["score"].alias("score"), (p["score"] >= threshold).alias("secret")))).alias("own"),
-            ),
-        )["own"]
-        whole = F.struct(placed.alias("own"), parts.alias("parts"))
-        masked = F.transform(F.array(whole), lambda w: F.struct(w["own"].alias("own"), F.concat(F.array_join(F.zip_with(F.slice(w["parts"], 1, F.size(w["own"])), w["own"], lambda p, f: F.concat(p, F.when(f["secret"], F.lit(MASK)).otherwise(f["value"]))), ""), F.element_at(w["parts"], -1)).alias("line")))
+
+        def placed(s: Column) -> Column:
+            starts = _sums_before(F.transform(s, lambda p: F.length(p["before"]) + F.length(p["value"])))
+
+            def found_at(p: Column, start: Column) -> Column:
+                head = F.left(line, start + F.length(p["before"]))
+                within = keyed & F.contains(line, F.lit("\x01"))  # a private key is in the line
+                lines = at_line + F.when(within, F.length(head) - F.length(F.replace(head, F.lit("\x01"), F.lit("")))).otherwise(0)
+                column = F.when(within, F.length(F.substring_index(head, "\x01", -1))).otherwise(start + F.length(p["before"]))
+                return F.struct(lines.cast("int").alias("line"), column.cast("int").alias("column"), broken(p["value"]).alias("value"), p["score"].alias("score"), (p["score"] >= threshold).alias("secret"))
+
+            own = F.zip_with(s, starts, found_at)
+            masked = F.transform(s, lambda p: F.concat(p["before"], F.when(p["score"] >= threshold, F.lit(MASK)).otherwise(broken(p["value"]))))
+            return F.struct(own.cast(finding).alias("own"), F.concat(F.array_join(masked, ""), F.element_at(parts, -1)).alias("line"))
+
         plain = F.struct(F.array().cast(finding).alias("own"), line.alias("line"))
-        return F.when(line.rlike(HINT), F.get(masked, F.lit(0))).otherwise(plain)
+        return F.when(line.rlike(CANDIDATE), bind(scored, placed)).otherwise(plain)
+
+    def whole(w: Column) -> Column:
+        def number(i: Column) -> Column:  # lines that private keys before this one have beside their first
+            return i + F.aggregate(F.filter(w["breaks"], lambda b: b["at"] < i), F.lit(0), lambda a, b: a + b["n"])
+
+        lines = F.transform(w["lines"], lambda x, i: F.when(x.rlike(HINT), one(x, number(i), F.size(w["breaks"]) > 0)).otherwise(F.struct(F.array().cast(finding).alias("own"), x.alias("line"))))
+        return bind(lines, lambda x: F.struct(F.flatten(F.transform(x, lambda y: y["own"])).alias("findings"), F.array_join(F.transform(x, lambda y: y["line"]), "\n").alias("masked")))
 
-    lines = F.transform(F.split(text, "\n"), one)
-    done = F.transform(F.array(lines), lambda x: F.struct(F.flatten(F.transform(x, lambda y: y["own"])).alias("findings"), F.array_join(F.transform(x, lambda y: y["line"]), "\n").alias("masked")))
+    keyed = text.rlike(HEADER) & ~F.contains(text, F.lit("\x01"))
+    blocks, around = F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), lambda b: F.replace(b, F.lit("\n"), F.lit("\x01"))), F.split(text, BLOCK, -1)
+    joined = F.when(keyed, F.array_join(F.zip_with(around, blocks, lambda p, b: F.concat(p, F.coalesce(b, F.lit("")))), "")).otherwise(text)
+    counted = lambda lines: F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), (F.length(x) - F.length(F.replace(x, F.lit("\x01"), F.lit("")))).alias("n"))), lambda b: b["n"] > 0)
+    breaks = lambda lines: F.when(keyed, counted(lines)).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+    done = bind(bind(F.split(joined, "\n"), lambda lines: F.struct(lines.alias("lines"), breaks(lines).alias("breaks"))), whole)
     none = F.struct(F.array().cast(finding).alias("findings"), text.alias("masked"))
-    return F.when(text.rlike(HINT), F.get(done, F.lit(0))).otherwise(none)
+    return F.when(text.rlike(HINT), done).otherwise(none)
 
 
 def scan_secrets(documents: DataFrame, text: str = "text", path: str = "source", forest: Forest | None = None, result: str = "scan") -> DataFrame:
-    """The documents with a struct column `result`: findings and masked text."""
+    """The documents with a struct column `result`: findings and masked text.  A table without the column `path`
+    is scanned without paths."""
+    if result.lower() in map(str.lower, documents.columns):
+        raise ValueError(f"the table has a column {result} already")
     forest = forest or train(labelled_findings(documents.sparkSession))
-    return documents.withColumn(result, scan_lines(F.col(text), F.col(path), forest))
+    own = F.col(path) if path in documents.columns else F.lit(None).cast("string")
+    return documents.withColumn(result, scan_lines(F.col(text), own, forest))
 
 
 def mask_secrets(documents: DataFrame, text: str = "text", path: str = "source", chars: str = "n_chars") -> DataFrame:
-    """The documents with every secret masked, and their lengths as they are then."""
-    scanned = scan_secrets(documents, text, path, result="__scan")
-    return scanned.withColumn(text, F.col("__scan.masked")).withColumn(chars, F.length(text).cast("long")).select(*documents.columns)
+    """The documents with every secret masked, and their lengths as they are then, if they have a column of those."""
+    name = free_name(documents, "__scan")
+    scanned = scan_secrets(documents, text, path, result=name).withColumn(text, F.col(f"{name}.masked"))
+    if chars in documents.columns:
+        scanned = scanned.withColumn(chars, F.length(text).cast("long"))
+    return scanned.select(*documents.columns)
