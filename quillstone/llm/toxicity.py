@@ -12,11 +12,15 @@ driver from a bounded sample.  Only beginnings and words that are over-represent
 against the rate that the prior leaves to the negatives, are features, so that a long clean text gathers no
 weight from its many ordinary words.
 
-Bounds: at most about `positives` and `unlabelled` sampled rows and `features` features.  Counts for the
-choice of features come from that sample.  All rows are scored, from their whole texts.
+Bounds: at most about `positives` and `unlabelled` sampled rows and `features` features.  Rows are drawn by a
+hash of id and text, so the sample does not depend on how the table is laid out, and rows that repeat an id with
+its text are drawn once.  Counts for the choice of features come from that sample.  All rows are scored, from their
+whole texts.
 
 Defined cases: null and empty texts have no feature and get the bias's score; with no positive at all
-every score is 0; a row without id is never held out; labels of ids that repeat count as toxic if any does.
+every score is 0; with positives that no word tells from the rest, every score is that of the bias -4 (0.018); a row
+without id is never held out; labels of ids that repeat count as toxic if any does; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,7 +84,7 @@ class Model:
 
 
 def _chance(salt: int, *of: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), *(of or (F.monotonically_increasing_id(),))), F.lit(1 << 30)) / float(1 << 30)
+    return F.pmod(F.xxhash64(F.lit(salt), *of), F.lit(1 << 30)) / float(1 << 30)
 
 
 def _sample(documents: DataFrame, toxic_ids: DataFrame, positives: int, unlabelled: int) -> DataFrame:
@@ -89,10 +93,11 @@ def _sample(documents: DataFrame, toxic_ids: DataFrame, positives: int, unlabell
     enough to be sent to them and no text is shuffled but those of the sample."""
     ids = toxic_ids.where("__id is not null").distinct()
     picked = ids.where(_chance(1, "__id") < positives / max(1, ids.count()))
-    marked = documents.join(F.broadcast(picked), "__id").select("text")
-    marked = marked.where(_chance(2) < positives / max(1, marked.count()))
-    drawn = documents.select("text").where(_chance(3) < unlabelled / max(1, documents.count()))
-    return marked.withColumn("p", F.lit(True)).union(drawn.withColumn("p", F.lit(False)))
+    marked = documents.join(F.broadcast(picked), "__id").select("__id", "text")
+    marked = marked.where(_chance(2, "__id", "text") < positives / max(1, marked.count()))
+    drawn = documents.where(_chance(3, "__id", "text") < unlabelled / max(1, documents.count())).select("__id", "text")
+    own = marked.withColumn("p", F.lit(True)).union(drawn.withColumn("p", F.lit(False)))
+    return own.withColumn("key", F.xxhash64("text")).dropDuplicates(["__id", "key", "p"]).select("text", "p")
 
 
 def train(documents: DataFrame, toxic_ids: DataFrame, prior: float, positives: int = 2000, unlabelled: int = 6000, features: int = 1500, doc_id: str = "doc_id", text: str = "text") -> Model | None:
