@@ -15,7 +15,6 @@ takes no part; items that repeat an id count once; an empty benchmark hits nothi
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
@@ -138,8 +137,6 @@ def is_contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with the columns they had."""
     hits = contamination(benchmark)
-    kept = documents.withColumn("__hits", hits(text))
-    return kept.where(~is_contaminated(F.col("__hits.n_hit"), F.col("__hits.n_words"))).drop("__hits")
-
-
-NO_ITEMS = hashlib.sha256(b"").hexdigest()
+    name = free_name(documents, "__hits")
+    kept = documents.withColumn(name, hits(text))
+    return kept.where(~is_contaminated(F.col(f"{name}.n_hit"), F.col(f"{name}.n_words"))).drop(name)

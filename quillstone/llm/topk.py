@@ -39,7 +39,13 @@ def usable(vector: Column) -> Column:
 
 
 def quantise(vector: Column, scale: int = 1024) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """floor(scale * x) of each component; numbers from 2^53 on are whole already."""
+
+    def one(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, one)
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
