@@ -43,8 +43,9 @@ BATCH_FILES, BATCH_BYTES = 16, 2 * 1024 * 1024
 
 # Extension to language.
 LANGUAGES = {
-    "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "c": "c", "h": "c",
-    "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "kt": "kotlin", "rb": "ruby", "php": "php", "sh": "bash", "bash": "bash", "swift": "swift", "scala": "scala",
+    "sh": "bash", "bash": "bash", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "cs": "csharp", "go": "go", "java": "java",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "kt": "kotlin", "kts": "kotlin", "lua": "lua", "php": "php", "py": "python", "pyi": "python",
+    "rb": "ruby", "rs": "rust", "scala": "scala", "sc": "scala", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx",
 }
 # Globs that a walk skips.
 SKIP_GLOBS = ["*.lock", "*.bin", "*.ipynb", "*.pyc", "*.safetensors", "*.sqlite", "*.pt"]

@@ -83,20 +83,20 @@ class Definition:
 
 
 def python_definitions(content: str) -> list[Definition] | None:
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-
     def of(node) -> list[Definition]:
         found = []
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 first = min([child.lineno, *(d.lineno for d in child.decorator_list)])
                 found.append(Definition(first - 1, child.end_lineno, child.name, of(child)))
+            else:  # definitions within conditions, loops and the like
+                found.extend(of(child))
         return found
 
-    return of(tree)
+    try:
+        return of(ast.parse(content))
+    except (SyntaxError, ValueError, RecursionError):
+        return None
 
 
 _NAMED = re.compile(
@@ -131,7 +131,8 @@ _TRIVIA = re.compile(r"^\s*(//|#|/\*|\*|@|\*/|--)")
 
 
 def definition_spans(lines: list[str], definitions: list[Definition]) -> list[Span]:
-    """Definitions with the comments above them; long ones are descended into; gaps become windows."""
+    """Definitions with the comments above them; long ones are descended into; gaps, and long ones
+    without definitions in them, become windows without symbol."""
     out: list[Span] = []
 
     def walk(own: list[Definition], low: int, high: int, path: str) -> None:
@@ -141,18 +142,18 @@ def definition_spans(lines: list[str], definitions: list[Definition]) -> list[Sp
             while start > at and _TRIVIA.match(lines[start - 1]):
                 start -= 1
             symbol = f"{path} > {d.name}" if path else d.name
-            gap(at, start, path)
+            gap(at, start)
             if d.end - start <= K.MAX_DEF_LINES:
                 out.append((start, d.end, symbol))
             elif d.children:
                 walk(d.children, start, d.end, symbol)
             else:
-                out.extend((a, b, symbol) for a, b, _ in windows(lines, start, d.end))
+                gap(start, d.end)
             at = max(at, d.end)
-        gap(at, high, path)
+        gap(at, high)
 
-    def gap(low: int, high: int, path: str) -> None:
-        out.extend((a, b, path or None) for a, b, _ in windows(lines, low, high))
+    def gap(low: int, high: int) -> None:
+        out.extend(windows(lines, low, high))
 
     walk(definitions, 0, len(lines), "")
     return out
