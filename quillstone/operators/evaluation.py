@@ -83,13 +83,18 @@ def ann_recall(exact: DataFrame, coarse: DataFrame, k: int, tolerance: float = 1
 def rerank_simulation(candidates: DataFrame, grid: DataFrame) -> DataFrame:
     """mode, weight, top_n, recall, mrr over cases (case_no, pos, rerank_rank, expected) and a grid of settings.
 
-    Modes: fused adds both reciprocal ranks, replace takes the reranker's order, pool the search's."""
+    The reranker's ranks count within the first top_n of the pool (null: all).  Modes: fused keeps the pool's
+    order; replace has what is reranked in the reranker's order, then the pool beyond top_n; rrf adds both
+    reciprocal ranks."""
     rows = candidates.join(F.broadcast(grid))  # a few settings
-    ranked = F.col("rerank_rank").isNotNull() & (F.col("pos") < F.col("top_n"))
-    again = F.when(ranked, 1.0 / (K.RRF_K + 1 + F.col("rerank_rank"))).otherwise(0.0)
-    own = 1.0 / (K.RRF_K + 1 + F.col("pos"))
-    score = F.when(F.col("mode") == "fused", own + F.col("weight") * again).when((F.col("mode") == "replace") & ranked, 1 + again).otherwise(own)
     keys = ["mode", "weight", "top_n", "case_no"]
+    inside = F.col("top_n").isNull() | (F.col("pos") < F.col("top_n"))
+    ranked = F.col("rerank_rank").isNotNull() & inside
+    again = F.when(ranked, F.sum(ranked.cast("int")).over(Window.partitionBy(*keys).orderBy(F.col("rerank_rank").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("again", F.coalesce(again, F.when(ranked, F.lit(0)))).where((F.col("mode") != "replace") | ranked | ~inside)
+    own = 1.0 / (K.RRF_K + 1 + F.col("pos"))
+    both = own + F.coalesce(F.col("weight") / (K.RRF_K + 1 + F.col("again")), F.lit(0.0))
+    score = F.when(F.col("mode") == "rrf", both).when((F.col("mode") == "replace") & F.col("again").isNotNull(), 1 + 1.0 / (1 + F.col("again"))).otherwise(own)
     order = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), "pos")) - 1)
     first = order.groupBy(*keys).agg(F.min(F.when(F.col("expected"), F.col("r"))).alias("rank"))
     return first.groupBy("mode", "weight", "top_n").agg(F.avg(F.when(F.col("rank") < 10, 1.0).otherwise(0.0)).alias("recall"), F.avg(F.when(F.col("rank") < 10, 1.0 / (F.col("rank") + 1)).otherwise(0.0)).alias("mrr"))

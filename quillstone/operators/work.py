@@ -50,19 +50,23 @@ def set_state(state: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def close(lists: DataFrame, commands: DataFrame, now: int) -> DataFrame:
-    """commands: list_id, open (true opens again)."""
-    said = commands.select(F.col("list_id").alias("id"), "open")
+    """commands: seq, list_id, open (true opens again); of several for one list the last one counts."""
+    said = commands.groupBy(F.col("list_id").alias("id")).agg(F.max_by("open", "seq").alias("open"))
     j = lists.join(said, "id", "left")
-    return j.withColumn("closed_at", F.when(F.col("open"), None).when(~F.col("open"), F.lit(now)).otherwise(F.col("closed_at"))).select(*lists.columns)
+    closed = F.when(F.col("open"), None).when(~F.col("open"), F.lit(now)).otherwise(F.col("closed_at"))
+    return j.withColumns({"closed_at": closed, "updated_at": F.when(F.col("open").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))}).select(*lists.columns)
 
 
-def work_lists(lists: DataFrame, items: DataFrame, state: DataFrame, name: str | None = None, closed: bool = False) -> DataFrame:
-    """Lists with their items (by status, then id) and state (by key), nested."""
+def work_lists(lists: DataFrame, items: DataFrame, state: DataFrame, name: str | None = None, everything: bool = False) -> DataFrame:
+    """Lists with their open items (by status, then id) and state (by key), nested, the latest first.
+
+    Closed lists and finished items come with `everything`; a list that is named comes even when it is closed."""
     rows = lists if name is None else lists.where(F.col("name") == name)
-    rows = rows if closed else rows.where("closed_at is null")
-    own = items.groupBy(F.col("list_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(status_order(F.col("status")).alias("o"), F.col("id").alias("item_id"), "task", "status", "note"))).alias("items"))
+    rows = rows if everything or name is not None else rows.where("closed_at is null")
+    shown = items if everything else items.where(F.col("status").isin("todo", "doing"))
+    own = shown.groupBy(F.col("list_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(status_order(F.col("status")).alias("o"), F.col("id").alias("item_id"), "task", "status", "note"))).alias("items"))
     keys = state.groupBy(F.col("list_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("state"))
-    return rows.join(own, "id", "left").join(keys, "id", "left").orderBy(F.desc("updated_at"), "id")
+    return rows.join(own, "id", "left").join(keys, "id", "left").orderBy(F.desc("updated_at"), F.desc("id"))
 
 
 def move(lists: DataFrame, items: DataFrame, state: DataFrame, repo_id: int, target: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -157,11 +157,13 @@ def test_work_lists(spark):
     assert {tuple(r) for r in keys.collect()} == {(1, "own", "x"), (2, "k", "theirs"), (2, "z", "q")}
     l, i, s = W.move(lists, items, state, 1, 2)
     assert {(r.id, r.repo_id) for r in l.collect()} == {(2, 2), (3, 2)} and {r.list_id for r in i.collect()} == {2} and {tuple(r) for r in s.collect()} == {(2, "k", "theirs"), (2, "own", "x")}
-    nested = W.work_lists(lists, items, state, closed=True)
+    nested = W.work_lists(lists, items, state, everything=True)
     assert [x.item_id for x in nested.where("id = 1").first()["items"]] == [2, 1] and W.work_lists(lists, items, state).count() == 2
     text = W.render(nested, 50 + 7200).where("id = 1").first().text
     assert text == "a (2h)\n  [doing] #2 t2 (n)\n  [done] #1 t1"
-    assert W.close(lists, spark.createDataFrame([(3, False), (1, True)], "list_id long, open boolean"), NOW).where("closed_at is null").count() == 2
+    assert W.close(lists, spark.createDataFrame([(1, 3, False), (2, 1, True)], "seq long, list_id long, open boolean"), NOW).where("closed_at is null").count() == 2
+    twice = W.close(lists, spark.createDataFrame([(2, 3, True), (1, 3, False)], "seq long, list_id long, open boolean"), NOW)
+    assert twice.count() == lists.count() and twice.where("id = 3").first().closed_at is None and twice.where("id = 3").first().updated_at == NOW
 
 
 def test_age_of_half_lives():
