@@ -65,17 +65,16 @@ _BITS = "(SELECT vec_id, embedding, array_to_string(list_transform(embedding, la
 
 
 @query(
-    f"""WITH e AS {_BITS}, q AS (SELECT * FROM e JOIN (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label) USING (vec_id)),
+    f"""WITH e AS {_BITS}, q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
 h AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, bit_count(xor(q.bits, e.bits)) AS h, q.embedding AS a, e.embedding AS b FROM q, e
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.bits, e.bits)), e.vec_id) <= 200)
 SELECT query_id, chunk_id, round(1 - list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 6) AS distance FROM h
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), chunk_id) <= 10"""
 )
 def binary_coarse(spark, d):
-    """The first vector of each label against all."""
+    """Every vector whose id is divisible by 20 against all."""
     q, c = _vectors(spark, d)
-    first = q.groupBy("scope").agg(F.min("query_id").alias("query_id"))
-    return search.nearest_coarse(q.join(first, ["query_id", "scope"]), c, 10, DIM).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"))
+    return search.nearest_coarse(q.where("query_id % 20 = 0"), c, 10, DIM).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
 @query()
@@ -83,7 +82,7 @@ def ann_recall_curve(spark, d):
     """Recall of the two-phase scan by the size of its first phase, over every vector whose id is divisible by 20."""
     q, c = _vectors(spark, d)
     q = q.where("query_id % 20 = 0")
-    exact = search.nearest(q, c, 10).persist()
+    exact = search.nearest(q, c, 10)
     out = None
     for n in (100, 200, 400, 800, 1600):
         r = evaluation.ann_recall(exact, search.nearest_coarse(q, c, 10, DIM, n), 10).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(n).alias("coarse_k"), "recall")
@@ -107,36 +106,38 @@ f AS (SELECT item_id, p, doc_id, sum(n) AS f FROM m JOIN tf USING (term) GROUP B
 idf AS (SELECT item_id, p, count(*) AS n FROM f GROUP BY ALL),
 s AS (SELECT item_id AS query_id, doc_id AS chunk_id, -sum(greatest(1e-6, ln((n_all - n + 0.5) / (n + 0.5))) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len * n_all / len_all))) AS score
   FROM f JOIN idf USING (item_id, p) JOIN dl USING (doc_id), st GROUP BY ALL),
-lexical AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), chunk_id) - 1 AS rank FROM s QUALIFY rank < 10)"""
+lexical AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), chunk_id) - 1 AS rank FROM s QUALIFY rank < {{}})"""
 
 
 def _lexical(spark, d, k=10):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    all_ = search.lexical(q, c, 1 << 30, ["content"]).withColumn("score", F.round("score", 6)).drop("rank")  # rounded before ties are broken
-    return search.top(all_, ["query_id"], ["score", "chunk_id"], k)
+    return search.lexical(q, c, k, ["content"])
 
 
-@query(f"{_BM25} SELECT query_id, chunk_id, round(score, 6) AS score FROM lexical")
+@query(f"{_BM25.replace('{}', '10')} SELECT query_id, chunk_id, round(score, 6) AS score FROM lexical")
 def bm25_search(spark, d):
     return _lexical(spark, d).select("query_id", "chunk_id", "score")
 
 
 @query(
-    f"""{_BM25}, dense AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(b.text)), doc_id) - 1 AS rank
-  FROM benchmark b, documents QUALIFY rank < 10),
+    f"""{_BM25.replace('{}', '50')}, e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+dense AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), b.vec_id) - 1 AS rank
+  FROM e a SEMI JOIN benchmark ON a.vec_id = item_id, e b QUALIFY rank < 50),
 tok AS (SELECT item_id, list_filter({_TOK.format('text')}, lambda t: strlen(t) >= 2) AS ts FROM benchmark),
-r AS (SELECT item_id AS query_id, len(ts) <= 3 OR (len(ts) <= 6 AND len(list_filter(ts, lambda t: contains(t, '_') OR contains(t, '::') OR regexp_matches(t, '(?s)^\\p{{Ll}}.*\\p{{Lu}}'))) > 0) AS lex FROM tok)
-SELECT query_id, chunk_id, round(coalesce(CASE WHEN lex THEN 0.35 ELSE 0.7 END / (61 + dense.rank), 0) + coalesce(CASE WHEN lex THEN 0.65 ELSE 0.3 END / (61 + lexical.rank), 0), 9) AS score
-FROM dense FULL JOIN lexical USING (query_id, chunk_id) JOIN r USING (query_id)"""
+r AS (SELECT item_id AS query_id, len(ts) <= 3 OR (len(ts) <= 6 AND len(list_filter(ts, lambda t: contains(t, '_') OR contains(t, '::') OR regexp_matches(t, '(?s)^\\p{{Ll}}.*\\p{{Lu}}'))) > 0) AS lex FROM tok),
+fused AS (SELECT query_id, chunk_id, coalesce(CASE WHEN lex THEN 0.35 ELSE 0.7 END / (61 + dense.rank), 0) + coalesce(CASE WHEN lex THEN 0.65 ELSE 0.3 END / (61 + lexical.rank), 0) AS score
+FROM dense FULL JOIN lexical USING (query_id, chunk_id) JOIN r USING (query_id))
+SELECT query_id, chunk_id, round(score, 9) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 50"""
 )
 def rrf_fusion(spark, d):
-    """The lexical leg with one that ranks documents by how near their length is to the query's."""
-    q, c = table(spark, d, "benchmark"), table(spark, d, "documents")
-    near = q.select(F.col("item_id").alias("query_id"), F.length("text").alias("n")).join(c.select(F.col("doc_id").alias("chunk_id"), "n_chars"))
-    dense = search.top(near.withColumn("gap", F.abs(F.col("n_chars") - F.col("n"))), ["query_id"], ["gap", "chunk_id"], 10)
+    """The lexical leg with one of vectors, where the vector of an item's number stands for its query; 50 hits each."""
+    q = table(spark, d, "benchmark")
+    vectors, chunks = _vectors(spark, d)
+    asked = vectors.join(q.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
     routes = q.select(F.col("item_id").alias("query_id"), T.route_query(F.col("text")).alias("r")).select("query_id", "r.*")
-    return search.fuse(dense, _lexical(spark, d), routes).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+    fused = search.fuse(search.nearest(asked, chunks, K.CANDIDATES), _lexical(spark, d, K.CANDIDATES), routes)
+    return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -159,15 +160,19 @@ def fts_strings(spark, d):
 
 
 @query(
-    r"""WITH w AS (SELECT item_id, unnest(list_distinct(list_transform(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_:]+'), lambda t: strlen(t) >= 3), lambda t: lower(t)))) AS word FROM benchmark),
-p AS (SELECT DISTINCT p_name AS symbol FROM part),
-s AS (SELECT symbol, unnest(list_filter(regexp_split_to_array(regexp_replace(symbol, '(\p{Lu})', ' \1', 'g'), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS sub FROM p),
-m AS (SELECT DISTINCT item_id, symbol FROM w JOIN s ON lower(sub) = word OR (least(strlen(sub), strlen(word)) >= 4 AND (starts_with(lower(sub), word) OR starts_with(word, lower(sub)))))
-SELECT item_id AS query_id, symbol, row_number() OVER (PARTITION BY item_id ORDER BY symbol)::INTEGER AS k FROM m QUALIFY k <= 8"""
+    r"""WITH w AS (SELECT p_partkey AS query_id, unnest(list_distinct(list_transform(list_filter(regexp_split_to_array(p_name, '[^\p{L}\p{N}_:]+'), lambda t: strlen(t) >= 3), lambda t: lower(t)))) AS word FROM part WHERE p_partkey % 20 = 0),
+y AS (SELECT DISTINCT p_type || 'Item > ' || p_name AS symbol FROM part),
+p AS (SELECT symbol, i AS nth, string_split(symbol, ' > ')[i] AS part FROM y, (SELECT unnest([1, 2]) AS i)),
+s AS (SELECT *, lower(unnest(list_filter(regexp_split_to_array(regexp_replace(part, '(\p{Lu})', ' \1', 'g'), '[^\p{L}\p{N}]+'), lambda t: t <> ''))) AS sub FROM p),
+m AS (SELECT DISTINCT query_id, symbol, nth, part FROM w JOIN s ON sub = word OR (least(strlen(sub), strlen(word)) >= 4 AND (starts_with(sub, word) OR starts_with(word, sub)))),
+o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.query_id = m.query_id AND word = lower(part)) QUALIFY row_number() OVER (PARTITION BY query_id, lower(part) ORDER BY symbol, nth) = 1)
+SELECT query_id, part AS symbol, row_number() OVER (PARTITION BY query_id ORDER BY symbol, nth)::INTEGER AS k FROM o QUALIFY k <= 8"""
 )
 def symbol_expand(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = search.expand_symbols(q, table(spark, d, "part").select(F.col("p_name").alias("symbol")))
+    """Names of parts as queries, and as the inner parts of symbol paths."""
+    parts = table(spark, d, "part")
+    q = parts.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    found = search.expand_symbols(q, parts.select(F.concat("p_type", F.lit("Item > "), "p_name").alias("symbol")))
     return found.select("query_id", F.posexplode("expansions").alias("k", "symbol")).select("query_id", "symbol", (F.col("k") + 1).cast("int").alias("k"))
 
 
@@ -194,22 +199,36 @@ def repo_keys(spark, d):
     return table(spark, d, "pages").select("page_id", T.repo_key(F.col("url")).alias("repo_key"))
 
 
+_MARKED = """m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' || chr(10) || '// @generated by a tool' || chr(10) || text WHEN doc_id % 11 = 0 THEN repeat('y' || chr(10), 5) || '@generated' || chr(10) || text WHEN doc_id % 13 = 0 THEN text || chr(10) || repeat('z' || chr(10), 90) || chr(10) || 'w' ELSE text END AS text FROM documents)"""
+
+
+def _marked(spark, d) -> DataFrame:
+    """Documents, some with a mark of generated files in the first five lines, some with one below them, some longer."""
+    text = F.col("text")
+    made = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x\n// @generated by a tool\n"), text)).when(F.col("doc_id") % 11 == 0, F.concat(F.lit("y\n" * 5 + "@generated\n"), text))
+    made = made.when(F.col("doc_id") % 13 == 0, F.concat(text, F.lit("\n" + "z\n" * 90 + "\nw"))).otherwise(text)
+    return table(spark, d, "documents").select("doc_id", made.alias("text"))
+
+
 @query(
-    r"""WITH l AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS lines FROM documents WHERE NOT contains(text, chr(0)) AND len(list_filter(string_split(text, chr(10))[1:5], lambda x: contains(x, '@generated'))) = 0)
-SELECT doc_id, len(lines)::BIGINT AS n_lines FROM l"""
+    rf"""WITH RECURSIVE {_MARKED}, l AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS x FROM m
+  WHERE text <> '' AND NOT contains(text, chr(0)) AND len(list_filter(string_split(text, chr(10))[1:5], lambda x: contains(x, '@generated'))) = 0),
+r AS (SELECT doc_id, x, 0::BIGINT AS s, CASE WHEN len(x) <= {K.WINDOW} THEN len(x) ELSE coalesce(list_max(list_filter(range({K.WINDOW - K.SNAP}, {K.WINDOW}), lambda i: regexp_matches(x[i + 1], '^\s*$'))), {K.WINDOW}) END AS e FROM l
+  UNION ALL SELECT doc_id, x, t AS s, CASE WHEN len(x) <= t + {K.WINDOW} THEN len(x) ELSE coalesce(list_max(list_filter(range(t + {K.WINDOW - K.SNAP}, t + {K.WINDOW}), lambda i: regexp_matches(x[i + 1], '^\s*$'))), t + {K.WINDOW}) END AS e
+  FROM (SELECT doc_id, x, greatest(e - {K.OVERLAP}, s + 1) AS t FROM r WHERE e < len(x)))
+SELECT doc_id, (s + 1)::INTEGER AS start_line, e::INTEGER AS end_line FROM r WHERE len(list_filter(x[s + 1:e], lambda y: NOT regexp_matches(y, '^\s*$'))) > 0"""
 )
 def chunked_lines(spark, d):
-    """Lines that line windows cover, of each document: all of them, as windows leave out blank ones alone."""
+    """Every line window of every document."""
     from ..operators.chunking import chunk_files
 
-    files = table(spark, d, "documents").select(F.lit("r").alias("repo_key"), F.col("doc_id").cast("string").alias("relpath"), F.col("text").alias("content"))
-    chunks = chunk_files(files)
-    return chunks.groupBy(F.col("relpath").cast("long").alias("doc_id")).agg(F.max("end_line").cast("long").alias("n_lines"))
+    files = _marked(spark, d).select(F.lit("r").alias("repo_key"), F.col("doc_id").cast("string").alias("relpath"), F.col("text").alias("content"))
+    return chunk_files(files).select(F.col("relpath").cast("long").alias("doc_id"), "start_line", "end_line")
 
 
-@query("SELECT doc_id FROM documents WHERE NOT contains(text, chr(0)) AND len(list_filter(string_split(text, chr(10))[1:5], lambda x: contains(x, '@generated'))) = 0")
+@query(f"WITH {_MARKED} SELECT doc_id FROM m WHERE NOT contains(text, chr(0)) AND len(list_filter(string_split(text, chr(10))[1:5], lambda x: contains(x, '@generated'))) = 0")
 def generated_filter(spark, d):
-    return table(spark, d, "documents").where(~F.contains("text", F.lit("\0")) & ~T.is_generated(F.col("text"))).select("doc_id")
+    return _marked(spark, d).where(~F.contains("text", F.lit("\0")) & ~T.is_generated(F.col("text"))).select("doc_id")
 
 
 @query(
@@ -224,10 +243,13 @@ def manifest_diff(spark, d):
     return ingest.manifest_diff(disk, stored)
 
 
-@query("SELECT md5(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS uses FROM documents GROUP BY ALL")
+@query("SELECT doc_id, md5(text) AS content_hash, md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 4 = 0) AS reused FROM documents")
 def vector_reuse(spark, d):
-    """Inputs that one embedding serves, with the document that it is made for."""
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("uses"))
+    """Documents to embed, where a fourth of them have vectors already."""
+    rows = table(spark, d, "documents").select("doc_id", F.md5("text").alias("content_hash"), F.col("text").alias("input"))
+    embedder = ingest.HashEmbedder(8)
+    known = rows.where("doc_id % 4 = 0").select("content_hash", ingest.embed_with(embedder)(F.col("input")).alias("embedding"))
+    return ingest.with_vectors(rows, known, embedder).select("doc_id", "content_hash", "reused")
 
 
 @query(
@@ -343,12 +365,12 @@ def reverify_overlap(spark, d):
 
 
 @query(
-    """SELECT o_custkey AS id, string_agg(o_orderkey::VARCHAR, ',' ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderkey) AS items,
-(SELECT string_agg(k || '=' || v, ',' ORDER BY k) FROM (SELECT DISTINCT o_custkey AS c, o_orderpriority AS k, 'x' AS v FROM orders) s WHERE s.c = o.o_custkey) AS state FROM orders o GROUP BY o_custkey"""
+    """SELECT o_custkey AS id, string_agg(o_orderkey::VARCHAR, ',' ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 ELSE 1 END, o_orderkey) FILTER (o_orderstatus IN ('P', 'O')) AS items,
+(SELECT string_agg(k || '=' || v, ',' ORDER BY k) FROM (SELECT DISTINCT o_custkey AS c, o_orderpriority AS k, 'x' AS v FROM orders) s WHERE s.c = o.o_custkey) AS state FROM orders o WHERE o_custkey % 5 <> 0 GROUP BY o_custkey"""
 )
 def work_lists(spark, d):
     o = table(spark, d, "orders")
-    lists = o.select(F.col("o_custkey").alias("id"), F.lit(1).alias("repo_id"), F.col("o_custkey").cast("string").alias("name"), F.lit(None).cast("long").alias("closed_at"), F.lit(0).alias("updated_at")).distinct()
+    lists = o.select(F.col("o_custkey").alias("id"), F.lit(1).alias("repo_id"), F.col("o_custkey").cast("string").alias("name"), F.when(F.col("o_custkey") % 5 == 0, NOW).alias("closed_at"), F.lit(0).alias("updated_at")).distinct()
     status = F.when(F.col("o_orderstatus") == "P", "doing").when(F.col("o_orderstatus") == "O", "todo").when(F.col("o_orderstatus") == "F", "done").otherwise("?")
     items = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("list_id"), F.lit("t").alias("task"), status.alias("status"), F.lit(None).cast("string").alias("note"))
     state = o.select(F.col("o_custkey").alias("list_id"), F.col("o_orderpriority").alias("key"), F.lit("x").alias("value")).distinct()
@@ -395,34 +417,84 @@ def percentiles(spark, d):
     return evaluation.percentile(table(spark, d, "events"), "value", 95, ["event_type"])
 
 
-@query(
-    """WITH t AS (SELECT conv_id::VARCHAR AS session, role AS kind, left(text, 4000) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role <> 'system' AND trim(text) <> ''),
-r AS (SELECT *, sum(length('[' || n || '] ' || kind || ': ' || body) + 1) OVER (PARTITION BY session ORDER BY n) AS head FROM t)
-SELECT session, n::INTEGER AS n, kind, length(body)::INTEGER AS chars, head::BIGINT AS running FROM r"""
-)
+_STEPS = r"""c AS (SELECT conv_id, turn, role, text FROM conversations),
+x AS (SELECT conv_id, turn, 0 AS part, 'user' AS kind, left(text, 4000) AS body, NULL AS tool, NULL AS edited FROM c WHERE role <> 'assistant' UNION ALL
+  SELECT conv_id, turn, 1, 'tool_use', CASE turn % 4 WHEN 0 THEN 'Edit {"file_path":"f' || turn || '.py"}' WHEN 1 THEN 'Read {"file_path":"a.py"}' WHEN 2 THEN 'Bash {"command":"curl https://a.b/c"}' ELSE 'Bash {"command":"cat notes.txt"}' END,
+    turn % 4, CASE WHEN turn % 4 = 0 THEN 'f' || turn || '.py' END FROM c WHERE role = 'assistant' UNION ALL
+  SELECT conv_id, turn, 2, 'tool_result', CASE WHEN turn % 4 = 2 THEN '[web content omitted]' WHEN length(text) > 1500 THEN '...' || right(text, 1500) ELSE text END, turn % 4, NULL FROM c WHERE role = 'assistant'),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) AS n, kind <> 'tool_result' OR tool IN (1, 3) AS provable, kind = 'tool_result' AND tool IN (0, 2) AS echoed FROM x)"""
+
+
+def _steps(spark, d) -> DataFrame:
+    """Conversations as transcripts: what the assistant says is the result of a call that it makes."""
+    c = table(spark, d, "conversations").withColumn("kind", F.col("turn") % 4)
+    call = F.concat(F.lit("c"), F.col("turn").cast("string"))
+    name = F.when(F.col("kind") == 0, "Edit").when(F.col("kind") == 1, "Read").otherwise("Bash")
+    path = F.when(F.col("kind") == 0, F.concat(F.lit("f"), F.col("turn").cast("string"), F.lit(".py"))).when(F.col("kind") == 1, "a.py")
+    command = F.when(F.col("kind") == 2, "curl https://a.b/c").when(F.col("kind") == 3, "cat notes.txt")
+    asked = F.array(F.struct(F.lit("tool_use").alias("type"), call.alias("id"), name.alias("name"), F.struct(path.alias("file_path"), command.alias("command")).alias("input")))
+    said = F.array(F.struct(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), F.col("text").alias("content")))
+    line = lambda role, content: F.to_json(F.struct(F.lit(role).alias("type"), F.struct(content.alias("content")).alias("message")))
+    key = lambda part: [F.col("conv_id").cast("string").alias("session"), (F.col("turn") * 4 + part).alias("line_no")]
+    user = c.where("role <> 'assistant'").select(*key(0), line("user", F.col("text")).alias("raw"))
+    tools = c.where("role = 'assistant'")
+    return user.union(tools.select(*key(1), line("assistant", asked))).union(tools.select(*key(2), line("user", said)))
+
+
+def _claims(own: DataFrame) -> DataFrame:
+    """A note for each entry, which it or its neighbour is to prove."""
+    kind = F.get(F.array(*map(F.lit, ["fact", "decision", "skill", "episode"])), (F.col("n") % 4).cast("int"))
+    entry = F.when(F.col("n") % 3 == 0, F.col("n") + 1).otherwise(F.col("n"))
+    quote = F.substring(capture.squeeze(F.col("body")), F.lit(5), 15 + (F.col("n") % 5) * 10)
+    return own.select("session", F.col("n").alias("claim_no"), kind.alias("kind"), entry.alias("entry"), quote.alias("quote"), F.lit("note").alias("content"), F.array(F.concat(F.lit("f"), (F.col("n") % 8).cast("string"), F.lit(".py:3"))).alias("anchors"), F.lit(7).cast("long").alias("supersedes"))
+
+
+_CLAIMS = rf"""{_STEPS}, q AS (SELECT conv_id, n, ['fact', 'decision', 'skill', 'episode'][1 + n % 4] AS kind, CASE WHEN n % 3 = 0 THEN n + 1 ELSE n END AS entry, trim(substr(trim(regexp_replace(body, '\s+', ' ', 'g')), 5, 15 + (n % 5) * 10)) AS quote FROM e),
+p AS (SELECT q.*, e.kind AS entry_kind, coalesce(length(quote) >= 20 AND contains(trim(regexp_replace(body, '\s+', ' ', 'g')), quote) AND NOT echoed AND provable, false) AS cited FROM q LEFT JOIN e ON e.conv_id = q.conv_id AND e.n = q.entry),
+v AS (SELECT *, cited AND ((kind = 'fact' AND entry_kind = 'tool_result') OR (kind = 'decision' AND entry_kind IN ('user', 'tool_result'))) AS proven FROM p)"""
+
+
+@query(f"WITH {_STEPS}, r AS (SELECT *, sum(length('[#' || n || '] ' || kind || ': ' || body) + 1) OVER (PARTITION BY conv_id ORDER BY n) AS head FROM e) SELECT conv_id::VARCHAR AS session, n::INTEGER AS n, kind, length(body)::INTEGER AS chars, provable, echoed, edited, head::BIGINT AS running FROM r")
 def transcript_entries(spark, d):
-    """Conversations as transcripts: numbered entries and the running length of their rendering."""
-    c = table(spark, d, "conversations").where("role <> 'system'")
-    raw = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
-    lines = c.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("line_no"), raw.alias("raw"))
-    rows = capture.number(capture.entries(lines), -1)
-    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "kind", F.lit(": "), "body")
+    """Numbered entries of transcripts, what they may prove, and the running length of their rendering."""
+    rows = capture.number(capture.entries(_steps(spark, d)), -1)
+    line = F.concat(F.lit("[#"), F.col("n").cast("string"), F.lit("] "), "kind", F.lit(": "), "body")
     w = Window.partitionBy("session").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("session", "n", "kind", F.length("body").alias("chars"), F.sum(F.length(line) + 1).over(w).alias("running"))
+    return rows.select("session", "n", "kind", F.length("body").alias("chars"), "provable", "echoed", "edited", F.sum(F.length(line) + 1).over(w).alias("running"))
+
+
+@query(f"WITH {_CLAIMS} SELECT conv_id::VARCHAR AS session, n::INTEGER AS claim_no, cited, proven FROM v")
+def quote_proof(spark, d):
+    """Notes that quote an entry of their own conversation."""
+    own = capture.number(capture.entries(_steps(spark, d)), -1)
+    return capture.proofs(_claims(own), own).select("session", "claim_no", "cited", "proven")
 
 
 @query(
-    r"""WITH e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, trim(regexp_replace(left(text, 4000), '\s+', ' ', 'g')) AS body FROM conversations WHERE role <> 'system' AND trim(text) <> ''),
-q AS (SELECT conv_id, n, ((n % 2) + 1) AS at, substr(body, 5, 15 + (n % 3) * 10) AS quote FROM e)
-SELECT q.conv_id::VARCHAR AS session, q.n::INTEGER AS claim_no, length(trim(regexp_replace(quote, '\s+', ' ', 'g'))) >= 20 AND coalesce(contains(e.body, trim(quote)), false) AND e.role = 'user' AS proven FROM q LEFT JOIN e ON e.conv_id = q.conv_id AND e.n = q.at"""
+    f"""WITH {_CLAIMS}, f AS (SELECT conv_id, list(DISTINCT edited) AS paths FROM e WHERE edited IS NOT NULL GROUP BY 1)
+SELECT conv_id::VARCHAR AS session, n::INTEGER AS claim_no, CASE WHEN proven THEN kind ELSE 'episode' END AS kind, CASE WHEN cited THEN '[#' || entry || '] ' || quote END AS evidence,
+  CASE WHEN proven AND list_contains(coalesce(paths, []), 'f' || (n % 8) || '.py') THEN 1 ELSE 0 END::INTEGER AS n_anchors, CASE WHEN proven THEN 7::BIGINT END AS supersedes
+FROM v LEFT JOIN f USING (conv_id) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n) <= 5"""
 )
-def quote_proof(spark, d):
-    """Facts that quote an entry of their own conversation or of the one beside it."""
-    c = table(spark, d, "conversations").where("role <> 'system'")
-    raw = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
-    own = capture.number(capture.entries(c.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("line_no"), raw.alias("raw"))), -1)
-    claims = own.select("session", F.col("n").alias("claim_no"), F.lit("fact").alias("kind"), (F.col("n") % 2 + 1).alias("entry"), F.substring(capture.squeeze(F.col("body")), F.lit(5), 15 + (F.col("n") % 3) * 10).alias("quote"))
-    return capture.proofs(claims, own).select("session", "claim_no", "proven")
+def capture_plan(spark, d):
+    """The notes that are kept of each conversation, as they are written."""
+    own = capture.number(capture.entries(_steps(spark, d)), -1)
+    settled = capture.plan(capture.settle(capture.proofs(_claims(own), own), own.where("edited is not null")))
+    return settled.select("session", "claim_no", "kind", "evidence", F.size("anchors").alias("n_anchors"), "supersedes")
+
+
+#: Commands with hand-made labels: whether they reach the network.
+COMMANDS = [
+    ("ls -la", False), ("curl https://example.org", True), ("/usr/bin/wget x", True), ("git status", False), ("git -C x pull", True), ("git commit -m 'fetch later'", True), ("pip install requests", True), ("pip list", False),
+    ("python -m pip list", True), ("cargo add serde", True), ("cargo build", False), ("gh api /user", True), ("gh pr list", False), ("cat curl.txt", False), ("(nc -l 80)", True), ("echo http://localhost:80/x", False),
+    ("echo http://127.0.0.1/x", False), ("echo https://user@example.org:443/x", True), ("echo 'HTTP://[::1]:80/'", False), ("open file:///etc/x", False), ("uv run x", False), ("npm ci", False), ("quillstone search -w x", True), ("quillstone search x", False),
+]
+
+
+@query(f"SELECT p_partkey AS id, {[label for _, label in COMMANDS]!s}[1 + p_partkey % {len(COMMANDS)}] AS network FROM part")
+def network_commands(spark, d):
+    command = F.get(F.array(*[F.lit(c) for c, _ in COMMANDS]), (F.col("p_partkey") % len(COMMANDS)).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), capture.network_command(command).alias("network"))
 
 
 @query(

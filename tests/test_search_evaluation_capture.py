@@ -160,8 +160,12 @@ def test_ranks_and_percentiles(spark):
 
 def test_rerank_grid(spark):
     rows = spark.createDataFrame([(0, 0, 2, False), (0, 1, 0, True), (0, 2, 1, False)], "case_no int, pos int, rerank_rank int, expected boolean")
-    grid = spark.createDataFrame([("pool", 1.0, 20), ("replace", 1.0, 20), ("fused", 9.0, 20)], "mode string, weight double, top_n int")
-    assert {r.mode: r.mrr for r in E.rerank_simulation(rows, grid).collect()} == {"pool": 0.5, "replace": 1.0, "fused": 1.0}
+    grid = spark.createDataFrame([("fused", 1.0, 20), ("replace", 1.0, 20), ("rrf", 9.0, 20), ("replace", 1.0, 1), ("rrf", 9.0, None)], "mode string, weight double, top_n int")
+    assert {(r.mode, r.top_n): r.mrr for r in E.rerank_simulation(rows, grid).collect()} == {("fused", 20): 0.5, ("replace", 20): 1.0, ("rrf", 20): 1.0, ("replace", 1): 0.5, ("rrf", None): 1.0}
+    # Ranks count within the pool: of two kept candidates the better one is first whatever stands beyond them.
+    rows = spark.createDataFrame([(0, 0, 9, False), (0, 1, 4, True), (0, 2, 0, False)], "case_no int, pos int, rerank_rank int, expected boolean")
+    grid = spark.createDataFrame([("replace", 1.0, 2), ("rrf", 0.9, 2)], "mode string, weight double, top_n int")
+    assert {r.mode: r.mrr for r in E.rerank_simulation(rows, grid).collect()} == {"replace": 1.0, "rrf": 0.5}
 
 
 def transcript(tmp_path):
@@ -169,7 +173,7 @@ def transcript(tmp_path):
         return json.dumps({"type": role, "message": {"role": role, "content": content}} | more)
 
     lines = [
-        json.dumps({"type": "mode"}), message("user", "please fix the parser of the configuration"), message("user", "meta", isMeta=True), json.dumps({"type": "attachment", "x": "- #12 [lesson] keep it short\n- #40 [fact] it is so"}),
+        json.dumps({"type": "mode"}), message("user", "please fix the parser of the configuration"), message("user", "meta", isMeta=True), json.dumps({"type": "attachment", "x": "notes\n[lesson #12] (stale) keep it \"short\"\n[fact #40] it is so"}),
         message("assistant", [{"type": "text", "text": "I run the tests now"}, {"type": "tool_use", "id": "c1", "name": "Bash", "input": {"command": "cargo test"}}]),
         message("user", [{"type": "tool_result", "tool_use_id": "c1", "content": "test parser_reads_all ... FAILED because of tabs " + "x" * 2000}]), message("assistant", "side", isSidechain=True),
         message("assistant", [{"type": "tool_use", "id": "c2", "name": "Edit", "input": {"file_path": "src/parse.rs"}}, {"type": "tool_use", "id": "c3", "name": "Bash", "input": {"command": "curl https://x.y/z"}}]),
@@ -183,18 +187,18 @@ def test_transcripts(spark, tmp_path):
     lines = read_lines(spark, transcript(tmp_path))
     assert lines.count() == 10 and lines.agg(F.max("line_no")).first()[0] == 10
     own = C.number(C.entries(lines)).orderBy("n").collect()
-    assert [(r.n, r.kind) for r in own] == [(1, "user"), (2, "assistant"), (3, "call"), (4, "result"), (5, "call"), (6, "call"), (7, "result")]
-    assert own[3].body.startswith("...") and len(own[3].body) == 1503 and own[3].provable and not own[6].provable and own[4].edited == "src/parse.rs"
+    assert [(r.n, r.kind) for r in own] == [(1, "user"), (2, "assistant"), (3, "tool_use"), (4, "tool_result"), (5, "tool_use"), (6, "tool_use"), (7, "tool_result")]
+    assert own[3].body.startswith("...") and len(own[3].body) == 1503 and own[3].provable and not own[6].provable and own[6].echoed and own[6].body == "[web content omitted]" and own[4].edited == "src/parse.rs"
     assert [r.n for r in C.number(C.entries(lines), 5).orderBy("n").collect()] == [1, 2, 3, 4]
     facts = C.reducers(C.number(C.entries(lines))).first()
     assert (facts.first_prompt, facts.tool_calls, facts.edited) == ("please fix the parser of the configuration", 3, ["src/parse.rs"])
-    assert {(r.note_id, r.kind) for r in C.injected_notes(lines).collect()} == {(12, "lesson"), (40, "fact")}
+    assert {(r.note_id, r.kind, r.content) for r in C.injected_notes(lines).collect()} == {(12, "lesson", 'keep it "short"'), (40, "fact", "it is so")}
     text = C.render(C.number(C.entries(lines)), 300).first().text
-    assert text.startswith("[1] user: please") and "\n...\n" in text and len(text) <= 310
+    assert text.startswith("[#1] user: please") and "\n...\n" in text and len(text) <= 310
 
 
 def test_proofs_and_plans(spark):
-    own = spark.createDataFrame([("s", 1, "user", "we  always use\nfour spaces here", True, False, "a.rs"), ("s", 2, "result", "quote of twenty characters or more", False, False, None)], "session string, n int, kind string, body string, provable boolean, echoed boolean, edited string")
+    own = spark.createDataFrame([("s", 1, "user", "we  always use\nfour spaces here", True, False, "a.rs"), ("s", 2, "tool_result", "quote of twenty characters or more", False, False, None)], "session string, n int, kind string, body string, provable boolean, echoed boolean, edited string")
     claims = spark.createDataFrame(
         [("s", 1, "convention", 1, "always use four spaces", "c" * 400, ["a.rs:3", "b.rs"], 5), ("s", 2, "fact", 2, "quote of twenty characters", "two", [], None), ("s", 3, "fact", 1, "short", "two", [], 7)]
         + [("s", k, "decision", 1, "always use four spaces", f"n{k}", [], None) for k in range(4, 9)],
@@ -203,7 +207,16 @@ def test_proofs_and_plans(spark):
     proven = C.proofs(claims, own)
     assert {r.claim_no for r in proven.where("proven").collect()} == {1, 4, 5, 6, 7, 8}
     rows = {r.claim_no: r for r in C.plan(C.settle(proven, own)).collect()}
-    assert set(rows) == {1, 2, 4, 5, 6} and (rows[1].kind, rows[1].anchors, len(rows[1].content), rows[1].supersedes) == ("convention", ["a.rs:3"], 300, 5) and rows[2].kind == "episode"
+    assert set(rows) == {1, 2, 3, 4, 5} and (rows[1].kind, rows[1].anchors, len(rows[1].content), rows[1].supersedes) == ("convention", ["a.rs:3"], 300, 5) and rows[2].kind == "episode"
+    assert rows[1].evidence == "[#1] always use four spaces" and rows[1].source.startswith("we  always") and (rows[3].kind, rows[3].anchors, rows[3].evidence, rows[3].supersedes) == ("episode", [], None, None)
+    shown, stale = spark.createDataFrame([("s", 5), ("s", 6)], "session string, note_id long"), spark.createDataFrame([("s", 6, "old"), ("s", 8, "older")], "session string, note_id long, content string")
+    own = own.union(spark.createDataFrame([("s", 3, "tool_result", "a result of twenty characters or more", True, False, None)], own.schema))
+    votes = spark.createDataFrame([("s", 5, True, 1, "always use four spaces"), ("s", 5, False, 1, "always use four spaces"), ("s", 6, False, 1, "always use four spaces"), ("s", 5, True, 3, "result of twenty characters")], "session string, note_id long, helpful boolean, entry int, quote string")
+    assert sorted((r.note_id, r.helpful) for r in C.proven_votes(votes, own, shown, stale).collect()) == [(5, False), (5, True)]
+    again = spark.createDataFrame([("s", 1, 8, 3, "result of twenty characters"), ("s", 2, 8, 3, "result of twenty characters or"), ("s", 3, 6, 1, "always use four spaces")], "session string, claim_no int, note_id long, entry int, quote string")
+    none = C.replaceable(C.plan(C.settle(proven, own)), shown, stale)
+    assert [(r.note_id, r.content, r.evidence) for r in C.reaffirmable(again, own, stale, none).collect()] == [(8, "older", "[#3] result of twenty characters")]
+    assert {r.claim_no: r.supersedes for r in none.collect()} == {1: 5, 2: None, 3: None, 4: None, 5: None}
 
 
 def test_streams(spark, tmp_path):
