@@ -43,6 +43,14 @@ def test_top_products_equal_brute_force(spark, stripe, block):
     assert got == best(rows, 5)
 
 
+def test_top_products_of_very_long_components(spark):
+    rows = [(0, [1e15, 0.5]), (3, [0.0021, 1e-3]), (4, [0.0031, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, score int, rank int")
+    got = [(r.query_id, r.rank, r.vec_id) for r in top_products(df, F.col("vec_id") % 3 == 0, k=5).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 4), (0, 2, 3), (3, 1, 0), (3, 2, 4)]
+    assert top_products(df.limit(0), F.lit(True)).count() == 0
+
+
 def test_pruning_loses_nothing():
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(5, 16))
@@ -100,6 +108,20 @@ def test_packing_places_every_piece_once(spark):
     assert pack(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_sequences_are_few_at_a_larger_size(spark):
+    rows = pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), TOKENIZER).agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("s")).first()
+    assert rows.s <= 1.01 * -(-rows.n // 1024), (rows.s, rows.n / 1024)
+
+
+def test_texts_of_one_long_run(spark):
+    encoder = Encoder(open(TOKENIZER, encoding="utf-8").read())
+    texts = ["x" + " " * 3_000_000 + "y", "a" * 1_000_000, "\n" * 1_000_000 + "z"]
+    for text in texts:
+        assert encoder(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    rows = pack(spark.createDataFrame([(1, texts[0], "x"), (2, None, "x"), (2, None, "x")], "doc_id long, text string, sequence_id string"), TOKENIZER).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(encoder(texts[0])) + 1 and len([r for r in rows if r.doc_id == 2]) == 2
+
+
 def test_ranked_encoder_equals_the_tokenizer():
     encoder = Encoder(open(TOKENIZER, encoding="utf-8").read())
     assert encoder.ranked is not None
@@ -107,17 +129,17 @@ def test_ranked_encoder_equals_the_tokenizer():
         assert encoder(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = "".join(c.lower() if c.isascii() else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
         w = w.replace(c, " ")
     w = [x for x in w.split(" ") if x]
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
-def linked(docs):
+def linked(docs, size=3, percent=90):
     """Components by all pairs."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, size) for i, t in docs}
     root = {i: i for i in sets}
 
     def find(i):
@@ -130,7 +152,7 @@ def linked(docs):
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 c = len(sets[a] & sets[b])
-                if c and 100 * c >= 90 * len(sets[a] | sets[b]):
+                if c and 100 * c >= percent * len(sets[a] | sets[b]):
                     x, y = sorted((find(a), find(b)))
                     root[y] = x
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -152,13 +174,21 @@ def near_copies(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("seed,recent", [(1, 256), (2, 1)])
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch, seed, recent):
-    monkeypatch.setattr(ngram_join, "RECENT", recent)
+@pytest.mark.parametrize("seed,window,block,split,size,percent,many", [(1, 64, 4096, 32, 3, 90, 2), (3, 2, 3, 4, 3, 90, 1000), (4, 1, 2, 2, 5, 80, 0), (5, 64, 4096, 32, 5, 80, 0)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, seed, window, block, split, size, percent, many):
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     docs = near_copies(seed, 150) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (1005, "one two"), (1006, "two one"), (1007, "q " * 30000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, component_id int").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(df).collect()}
-    assert got == linked(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(df, percent, 100, size, window=window, block=block, many=many).collect()}
+    assert got == linked(docs, size, percent)
+
+
+def test_one_of_each_takes_five_words_and_four_fifths(spark):
+    docs = near_copies(7, 60) + [(1000, None), (1001, ""), (1002, None)]
+    df = spark.createDataFrame([(i, t, 0, 1) for i, t in docs] + [(3, docs[3][1], 0, 1), (None, docs[3][1], 0, 1)], "doc_id long, text string, component_id int, __gone int")
+    own = linked(docs, 5, 80)
+    kept = [r.doc_id for r in ngram_join.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([*(i for i in own if own[i][1] == i), *([3] if own[3][1] == 3 else []), None], key=str)
 
 
 def test_near_duplicates_with_repeated_and_null_ids(spark):
@@ -199,21 +229,59 @@ def test_language_cases(spark):
     tags = docs.where("doc_id = 94").select(langid.tagger(docs, langid.train(docs))("text").alias("t")).first().t
     assert [s.lang for s in tags.spans] == ["en", "de"] and tags.spans[1].start == rows[-1][1].index("der hund")
     assert langid.keep_known(docs).where("doc_id in (90, 91, 92)").count() == 0
+    assert langid.identify(docs.limit(0)).count() == 0 and langid.keep_known(docs.withColumn("__lang", F.lit(1)).limit(0)).columns[-1] == "__lang"
+    twice = docs.where("doc_id = 0").union(docs.where("doc_id = 0"))
+    assert len({(r.lang_pred, r.score) for r in langid.identify(docs.union(twice)).where("doc_id = 0").collect()}) == 1
     none = langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).first()
     assert (none.lang_pred, none.score) == ("und", 0.0)
 
 
-def test_paths_are_the_best():
-    rng = np.random.default_rng(2)
-    model = langid.Model(["a", "b", "c"], np.ones((3, langid.BUCKETS)), np.ones((3, len(langid.SCRIPT_NAMES))), penalty=2.0)
+def value(scores, path, penalty):
+    return sum(scores[t, p] for t, p in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:]))
+
+
+@pytest.mark.parametrize("m", [2, 3, 4, 5])
+def test_paths_are_the_best(m):
+    rng = np.random.default_rng(m)
+    model = langid.Model([str(k) for k in range(m)], np.ones((m, langid.BUCKETS)), np.ones((m, len(langid.SCRIPT_NAMES))), penalty=2.0)
+    texts = [rng.normal(size=(rng.integers(1, 6), m)) * rng.choice([0.5, 1, 2]) for _ in range(60)]
+    for cells in (1, 1 << 22):
+        for scores, path in zip(texts, model.paths(texts, cells)):
+            n = len(scores)
+            assert value(scores, path.tolist(), 2.0) == pytest.approx(max(value(scores, [k // m**t % m for t in range(n)], 2.0) for k in range(m**n)))
+
 
-    def value(scores, path):
-        return sum(scores[t, p] for t, p in enumerate(path)) - 2.0 * sum(a != b for a, b in zip(path, path[1:]))
+def test_a_path_through_two_rivals_is_found():
+    model = langid.Model(["a", "b", "c"], np.ones((3, langid.BUCKETS)), np.ones((3, len(langid.SCRIPT_NAMES))))
+    scores = np.array([[0, -6, -2.3]] * 3 + [[-6, 0, -2.3]] * 3, float)
+    assert model.paths([scores])[0].tolist() == [0, 0, 0, 1, 1, 1]
 
-    for _ in range(50):
-        scores = rng.normal(size=(6, 3)) * 2
-        top = max(value(scores, [k // 3**t % 3 for t in range(6)]) for k in range(3**6))
-        assert value(scores, model.path(scores).tolist()) == pytest.approx(top)
+
+def plain_tag(model, text):
+    """Language and spans of a text, word by word."""
+    words = [(w, model.word_scores([w])) for w in langid.words_of((text or "").encode())]
+    scores = [s[0] for _, (s, real) in words if real[0]]
+    if not scores:
+        return "und", []
+    best = [(float(x), [k]) for k, x in enumerate(scores[0])]
+    for row in scores[1:]:
+        best = [max(((v - (model.penalty if path[-1] != k else 0) + float(x), [*path, k]) for v, path in best), key=lambda p: p[0]) for k, x in enumerate(row)]
+    path = max(best, key=lambda p: p[0])[1]
+    runs = [k for i, k in enumerate(path) if i == 0 or path[i - 1] != k]
+    return model.langs[max(range(len(model.langs)), key=path.count)], [model.langs[k] for k in runs]
+
+
+def test_languages_equal_a_walk_word_by_word(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    rng = random.Random(4)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    mixed = [" ".join(" ".join(rng.choice(texts).split()[: rng.randint(3, 30)]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *mixed, None, "", "12"])], "i int, text string").select("i", "text", langid.tagger(docs, model)("text").alias("t")).collect()
+    for r in got:
+        lang, spans = plain_tag(model, r.text)
+        assert (r.t.lang, [s.lang for s in r.t.spans]) == (lang, spans)
+        assert not spans or (r.t.spans[0].start, r.t.spans[-1].end) == (0, len(r.text))
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -226,6 +294,7 @@ def test_toxicity_of_held_out_documents(spark):
 
 def test_toxicity_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "y"), (3, "y")], "doc_id long, text string")
+    assert toxicity.score_toxicity(docs.withColumn("score", F.lit("x")).limit(0), spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).count() == 0
     rows = toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(rows) == 5 and all(r.score == 0 and r.predicted == 0 for r in rows)
     rows = toxicity.score_toxicity(docs, spark.createDataFrame([(1, 1, 1), (3, 1, 1), (3, 1, 0), (None, 1, 1), (2, 0, None)], "doc_id long, quality int, toxic int")).collect()
@@ -283,7 +352,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     texts = {r.doc_id: r.text for r in docs.collect()}
     known = {r.doc_id for r in langid.identify(docs).where("lang_pred <> 'und' and score >= 0.3").collect()}
     assert 10**6 not in known and 10**6 + 1 not in known
-    alone = linked([(i, texts[i]) for i in known])
+    alone = linked([(i, texts[i]) for i in known], 5, 80)
     kept = {i for i in known if alone[i][1] == i}
     hits = contamination(spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
     bad = {r.doc_id for r in docs.select("doc_id", hits("text").alias("h")).where(is_contaminated(F.col("h.n_hit"), F.col("h.n_words"))).collect()}
