@@ -6,12 +6,12 @@ documents; the last one returns the packed pieces.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.llm.common import shared_folder
 from quillstone.llm.decontaminate import decontaminate
 from quillstone.llm.langid import keep_known
 from quillstone.llm.ngram_join import one_of_each
@@ -25,7 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more, and what such links reach) the
+    document with the smallest id stays.  Documents without an id or without words stay; rows that repeat an id all
+    go or stay."""
     return one_of_each(docs)
 
 
@@ -51,10 +53,7 @@ ORACLE_SQL = None  # models and tokenisers are beyond SQL; tests compare with a
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    folder = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
