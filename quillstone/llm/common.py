@@ -40,6 +40,12 @@ def drop(done: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """`cut(df)` of a narrow table in partitions of about `rows` rows, so that small tables make few tasks and files."""
+    own = cut(df)
+    return own.coalesce(max(1, -(-own.count() // rows)))
+
+
 def few(df: DataFrame, most: int = 250_000) -> DataFrame:
     """`df`, a narrow table already materialised, marked for broadcast if it has `most` rows or fewer."""
     return F.broadcast(df) if df.count() <= most else df

@@ -32,4 +32,5 @@ def components(links: DataFrame, alone: int = 200_000) -> DataFrame:
         before, mark = mark, _mark(edges)
         if mark == before:
             break
+    edges = edges.coalesce(1) if mark[0] <= alone else edges
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import cut, drop, few, free_name, small_batches
+from .common import cut, drop, few, free_name, packed, small_batches
 from .components import components
 from .shingles import Hasher, mix, text_buffers
 
@@ -405,24 +405,23 @@ def similar_components(documents: DataFrame, num: int = 90, den: int = 100, size
 
     def alike(pairs: DataFrame) -> DataFrame:
         side = lambda k: needed.select(F.col("cid").alias(k), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-        ids = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-        needed = cut(classes.join(few(ids), "cid", "left_semi"))
+        ids = packed(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+        needed = packed(classes.join(few(ids), "cid", "left_semi"))
         told = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "sa", "sb")
-        drop(ids)
         return told.mapInArrow(_alike(num, den), "a bigint, b bigint, ra bigint, rb bigint")
 
     def links(pairs: DataFrame) -> DataFrame:
         """The text of b goes to the place of a, and to one of several places where a has many."""
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("m")).where("m > 1")
         placed = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("m", F.lit(1))).cast("int"))
-        wanted = cut(placed.select(F.col("rb").alias("doc_id"), F.col("a").alias("home"), "salt", F.col("b").alias("cid")).union(placed.select("ra", "a", "salt", F.col("a").alias("c")).distinct()))
+        wanted = packed(placed.select(F.col("rb").alias("doc_id"), F.col("a").alias("home"), "salt", F.col("b").alias("cid")).union(placed.select("ra", "a", "salt", F.col("a").alias("c")).distinct()))
         sent = docs.join(few(wanted), "doc_id").select("home", "salt", "cid", "text").repartition("home", "salt")
         return sent.sortWithinPartitions("home", "salt", F.col("cid") != F.col("home")).mapInArrow(_verify(size, num, den), "u bigint, v bigint")
 
     # Of the smaller ones that each class has a chance with, the one that most n-grams name.
     named = met.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    tried = cut(named.select("a", "b"))
-    known, before = components(links(cut(alike(tried)))), None
+    tried = packed(named.select("a", "b"))
+    known, before = components(links(packed(alike(tried)))), None
     for seed in range(1, ROUNDS + 2):
         left, pairs_left = _apart(members, known)
         if not pairs_left:
@@ -436,10 +435,10 @@ def similar_components(documents: DataFrame, num: int = 90, den: int = 100, size
             some = F.slice(F.array_sort(F.collect_set(F.struct("h", "b"))), 1, TRIES)
             pairs = found.groupBy("a").agg(some.alias("p")).select("a", F.explode("p.b").alias("b"))
         both = tried.union(tried.select("b", "a"))
-        new = cut(pairs.join(both, ["a", "b"], "left_anti"))
+        new = packed(pairs.join(both, ["a", "b"], "left_anti"))
         drop(left)
         if not new.isEmpty():
-            known = components(links(cut(alike(new))).union(known.select("node", "component")))
+            known = components(links(packed(alike(new))).union(known.select("node", "component")))
             tried = tried.union(new)
         if last:
             break
