@@ -197,6 +197,17 @@ def due_sessions(reduced: DataFrame, state: DataFrame) -> DataFrame:
     return reduced.where(F.col("tool_calls") >= MIN_CALLS).join(state, "session", "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
 
 
+def commit_offsets(state: DataFrame, lines: DataFrame) -> DataFrame:
+    """session, offset: how far each session (session, line_no) has been read; an offset never goes back."""
+    read = lines.groupBy("session").agg(F.max("line_no").cast("long").alias("offset"))
+    return state.select("session", F.col("offset").cast("long").alias("offset")).unionByName(read).groupBy("session").agg(F.max("offset").alias("offset"))
+
+
+def commit_marks(marked: DataFrame, cast: DataFrame) -> DataFrame:
+    """The votes already cast (session, note_id) with those of this run."""
+    return marked.select("session", "note_id").unionByName(cast.select("session", "note_id")).distinct()
+
+
 def unmarked(votes: DataFrame, marked: DataFrame) -> DataFrame:
     """Votes (session, note_id, helpful) of notes not yet voted on in their session."""
     return votes.dropDuplicates(["session", "note_id"]).join(marked, ["session", "note_id"], "left_anti")

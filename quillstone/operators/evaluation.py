@@ -98,3 +98,26 @@ def rerank_simulation(candidates: DataFrame, grid: DataFrame) -> DataFrame:
     order = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), "pos")) - 1)
     first = order.groupBy(*keys).agg(F.min(F.when(F.col("expected"), F.col("r"))).alias("rank"))
     return first.groupBy("mode", "weight", "top_n").agg(F.avg(F.when(F.col("rank") < 10, 1.0).otherwise(0.0)).alias("recall"), F.avg(F.when(F.col("rank") < 10, 1.0 / (F.col("rank") + 1)).otherwise(0.0)).alias("mrr"))
+
+
+def score_outcomes(pairs: DataFrame, verifier, question: str = "grounded") -> DataFrame:
+    """label, score of labelled pairs (claim, evidence, label); a row that the verifier fails on has score 0."""
+    from ..sources.models import ask
+
+    return pairs.select("label", F.coalesce(ask(verifier, question)(F.col("claim"), F.col("evidence")), F.lit(0.0)).alias("score"))
+
+
+def calibrate(pairs: DataFrame, verifier, question: str = "grounded") -> DataFrame:
+    """One row: the errors at the question's threshold and the area under the curve of a verifier."""
+    scored = score_outcomes(pairs, verifier, question)
+    return calibration(scored, K.THRESHOLDS[question]).crossJoin(F.broadcast(auroc(scored)))  # one row each
+
+
+def evaluate(cases: DataFrame, search, runs: int = 1, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(run, cases, recall, mrr; their spread over the runs) of `search(cases)`, whose rows are case_no, pos, relpath,
+    start_line, end_line."""
+    out = None
+    for run in range(1, runs + 1):
+        own = summarize(first_ranks(cases, search(cases).where(F.col("pos") < limit)), limit).select(F.lit(run).alias("run"), "cases", "recall", "mrr")
+        out = own if out is None else out.unionByName(own)
+    return out, out.agg(*[f(c).alias(f"{c}_{n}") for c in ("recall", "mrr") for f, n in ((F.min, "low"), (F.max, "high"))])

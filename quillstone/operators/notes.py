@@ -74,7 +74,7 @@ def candidates(queries: DataFrame, vectors: DataFrame, notes: DataFrame, suppres
     both = top(own.unionByName(shared), ["query_id"], ["distance", "chunk_id"], k).select("query_id", F.col("chunk_id").alias("note_id"), "distance")
     live = both.join(notes.where("status <> 'archived' and superseded_by is null").select(F.col("id").alias("note_id")), "note_id", "left_semi")
     votes = queries.where("scope_kind <> 'unseen'").select("query_id", F.when(F.col("scope_kind") == "repo", F.col("scope_repo_id")).otherwise(F.lit(0)).alias("repo_id"))
-    mute = suppressions.join(F.broadcast(votes), "repo_id").select("query_id", "note_id")
+    mute = suppressions.join(votes, "repo_id").select("query_id", "note_id")
     return live.join(mute, ["query_id", "note_id"], "left_anti")
 
 
@@ -143,6 +143,19 @@ def mark_stale(notes: DataFrame, drifted: DataFrame, now: int) -> DataFrame:
     return notes.join(hit, "id", "left").withColumns({"status": F.when(due, "stale").otherwise(F.col("status")), "stale_at": F.when(due, F.lit(now)).otherwise(F.col("stale_at"))}).select(*notes.columns)
 
 
+def commit_staleness(notes: DataFrame, anchors: DataFrame, committed: DataFrame, now: int) -> DataFrame:
+    """The notes after files (repo_id, relpath, hash) were stored: those with an anchor to another hash of one are
+    stale.  Files that were deleted are not among them and make nothing stale."""
+    from .ingest import stale_anchors
+
+    return mark_stale(notes, stale_anchors(anchors, committed), now)
+
+
+def suppression_scopes(suppressions: DataFrame) -> DataFrame:
+    """note_id, scopes: the repositories in which a note is muted, without votes from outside of any (0)."""
+    return suppressions.where("repo_id <> 0").groupBy("note_id").agg(F.array_sort(F.collect_set("repo_id")).alias("scopes"))
+
+
 def stale_list(notes: DataFrame, anchors: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """Stale notes with all the paths they are tied to; with `paths`, those tied to one of them."""
     tied = anchors.groupBy(F.col("note_id").alias("id")).agg(F.array_sort(F.collect_set("relpath")).alias("paths"))
@@ -258,6 +271,22 @@ def prune(notes: DataFrame, suppressions: DataFrame, repo_id: int, target: int |
     return j.withColumns({"status": F.when(archive, "archived").otherwise(F.col("status")), "repo_id": F.when(mine, None).otherwise(F.col("repo_id"))}).select(*notes.columns)
 
 
+def prune_tied(notes: DataFrame, vectors: DataFrame, suppressions: DataFrame, anchors: DataFrame, repo_id: int, target: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, suppressions, anchors) of a repository that goes; `notes` are those after `prune`.
+
+    With a target they go there, where a suppression that the target has already is not repeated.  Without one vectors
+    become global and its anchors and suppressions go.  Archived notes lose their vectors."""
+    live = drop_vectors(vectors, notes)
+    mine = F.col("repo_id") == repo_id
+    moved = live.withColumn("part", F.when(F.col("part") == repo_id, F.lit(target or 0).cast("long")).otherwise(F.col("part")))
+    if target is None:
+        return moved, suppressions.where(~mine), anchors.where(~mine)
+    had = suppressions.where(F.col("repo_id") == target).select("note_id")
+    taken = suppressions.where(mine).join(had, "note_id", "left_anti").withColumn("repo_id", F.lit(target).cast("long"))
+    goes = F.when(mine, F.lit(target)).otherwise(F.col("repo_id")).cast("long")
+    return moved, suppressions.where(~mine).unionByName(taken.select(*suppressions.columns)), anchors.withColumn("repo_id", goes)
+
+
 def source_stats(notes: DataFrame) -> DataFrame:
     n = lambda c: F.count_if(c)
     return notes.groupBy("source").agg(

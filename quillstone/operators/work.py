@@ -74,7 +74,7 @@ def move(lists: DataFrame, items: DataFrame, state: DataFrame, repo_id: int, tar
     mine = lists.where(F.col("repo_id") == repo_id)
     there = lists.where(F.col("repo_id") == target).select("name", F.col("id").alias("into"))
     fold = mine.join(there, "name").select("id", "into")
-    goes = lambda df: df.join(F.broadcast(fold.withColumnRenamed("id", "list_id")), "list_id", "left")
+    goes = lambda df: df.join(fold.withColumnRenamed("id", "list_id"), "list_id", "left")
     after = lists.join(fold, "id", "left_anti").withColumn("repo_id", F.when(F.col("repo_id") == repo_id, F.lit(target)).otherwise(F.col("repo_id")))
     own = goes(items).withColumn("list_id", F.coalesce("into", "list_id")).select(*items.columns)
     folded = goes(state).where("into is not null").select(F.col("into").alias("list_id"), "key", "value").join(state.select("list_id", "key"), ["list_id", "key"], "left_anti")

@@ -507,3 +507,110 @@ def debounce_sessions(spark, d):
 
     told = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return bursts(table(spark, d, "events"), "1 hour").select("user_id", told("start").alias("first_seen"), told("end").alias("quiet_at"), "n")
+
+
+@query(f"{_E} SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_COS} + 0.0::DOUBLE AS distance FROM e a, e b WHERE a.vec_id % 20 = 0 AND b.label = 3 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), b.vec_id) <= 10")
+def scoped_search(spark, d):
+    """Every vector whose id is divisible by 20 against one repository, exact or in two phases by its size."""
+    q, c = _vectors(spark, d)
+    c = c.withColumn("repo_key", F.col("scope").cast("string"))
+    own = c.where(search.require_repo(c, "3"))
+    return search.nearest_adaptive(q.where("query_id % 20 = 0"), own, 10, DIM).select("query_id", "chunk_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query("SELECT l_suppkey::VARCHAR AS repo_key, sum(l_linenumber) FILTER (l_partkey % 10 <> 0)::BIGINT AS chunks FROM lineitem WHERE l_partkey % 10 <> 0 GROUP BY 1 UNION ALL SELECT s_suppkey::VARCHAR, 0 FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_partkey % 10 <> 0)")
+def scope_counts(spark, d):
+    """Chunks of each supplier's files, where line numbers stand for counts of chunks."""
+    files = table(spark, d, "lineitem").where("l_partkey % 10 <> 0").select(F.col("l_suppkey").cast("string").alias("repo_key"), F.col("l_linenumber").alias("chunk_count"))
+    return search.scope_counts(files, table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("repo_key")))
+
+
+@query(
+    f"""WITH i AS (SELECT doc_id, 'repo > d' || doc_id || '.md' || CASE WHEN doc_id % 2 = 0 THEN ' > ' || source ELSE '' END || chr(10) || text AS s FROM documents)
+SELECT doc_id, md5(CASE WHEN strlen(s) <= {K.RERANK_BYTES} THEN s ELSE left(s, list_max(list_filter(range({K.RERANK_BYTES // 4}, {K.RERANK_BYTES + 1}), lambda n: strlen(left(s, n)) <= {K.RERANK_BYTES}))::BIGINT) END) AS document FROM i"""
+)
+def rerank_documents(spark, d):
+    """What a reranker is shown of each document; every second one has a symbol."""
+    t = table(spark, d, "documents")
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return t.select("doc_id", F.md5(search.rerank_document(F.lit("repo"), path, F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.col("text"))).alias("document"))
+
+
+@query("SELECT user_id AS note_id, string_agg(DISTINCT (event_id % 4)::VARCHAR, ',' ORDER BY (event_id % 4)::VARCHAR) AS scopes FROM events WHERE event_type = 'error' AND event_id % 4 <> 0 GROUP BY 1")
+def suppression_scopes(spark, d):
+    muted = table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("note_id"), (F.col("event_id") % 4).alias("repo_id"))
+    return notes.suppression_scopes(muted).select("note_id", F.array_join(F.transform("scopes", lambda x: x.cast("string")), ",").alias("scopes"))
+
+
+@query(f"WITH {_ANCHORS}, n AS (SELECT DISTINCT l_orderkey AS id, l_orderkey % 5 = 0 AS old FROM lineitem), s AS (SELECT DISTINCT note_id AS id FROM a JOIN f USING (repo_id, relpath) WHERE f.hash <> a.hash) SELECT id, CASE WHEN old THEN 'archived' WHEN id IN (SELECT id FROM s) THEN 'stale' ELSE 'live' END AS status, CASE WHEN NOT old AND id IN (SELECT id FROM s) THEN {NOW} END::BIGINT AS stale_at FROM n")
+def commit_staleness(spark, d):
+    """Notes after the files that lineitem stands for were stored; a fifth of the notes is archived."""
+    anchors, files = _anchors(spark, d)
+    state = anchors.select(F.col("note_id").alias("id")).distinct().select("id", F.when(F.col("id") % 5 == 0, "archived").otherwise("live").alias("status"), F.lit(None).cast("long").alias("stale_at"))
+    return notes.commit_staleness(state, anchors, files, NOW).select("id", "status", F.col("stale_at").cast("long").alias("stale_at"))
+
+
+@query('SELECT conv_id::VARCHAR AS session, max(greatest(turn, CASE WHEN conv_id % 3 = 0 THEN 5 ELSE 0 END))::BIGINT AS "offset" FROM conversations GROUP BY conv_id')
+def session_offsets(spark, d):
+    """How far each conversation is read; a third of them were read to line 5 before."""
+    lines = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("line_no"), "conv_id")
+    before = lines.where("conv_id % 3 = 0").select("session", F.lit(5).alias("offset")).distinct()
+    return capture.commit_offsets(before, lines)
+
+
+@query(
+    f"""{_NOTES}, v AS (SELECT user_id AS id, count(*) FILTER (event_type = 'purchase') AS h, count(*) FILTER (event_type = 'error') AS m, floor(epoch(max(ts) FILTER (event_type = 'purchase')))::BIGINT AS voted_at FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
+SELECT n.id, round(salience * pow(0.8, coalesce(m, 0)), 9) AS salience, noise_count + coalesce(m, 0) AS noise_count, helpful_count + coalesce(h, 0) AS helpful_count, coalesce(voted_at, last_access) AS last_access FROM n LEFT JOIN v USING (id)"""
+)
+def feedback_votes(spark, d):
+    """Notes after every purchase (helpful) and error (noise) is cast as a vote."""
+    e = table(spark, d, "events").where("event_type in ('purchase', 'error')")
+    cast = e.select(F.col("event_id").alias("seq"), seconds("ts").alias("ts"), F.col("user_id").alias("note_id"), (F.col("event_type") == "purchase").alias("helpful"), (F.col("event_id") % 4).alias("repo_id"))
+    none = spark.createDataFrame([], "note_id long, repo_id long, created_at long")
+    after = notes.apply_votes(_notes(spark, d), none, cast)[0]
+    return after.select("id", F.round("salience", 9).alias("salience"), "noise_count", "helpful_count", "last_access")
+
+
+_HOLDS = "((id * 37) % 100) / 100.0::DOUBLE AS holds, ((id * 53) % 100) / 100.0::DOUBLE AS contradiction"
+
+
+@query(
+    f"""{_NOTES}, v AS (SELECT *, CASE WHEN holds >= 0.5 THEN 'holds' WHEN contradiction >= 0.8 THEN 'contradicted' ELSE 'inconclusive' END AS verdict FROM (SELECT *, {_HOLDS} FROM n WHERE status = 'stale'))
+SELECT id, verdict, CASE WHEN verdict = 'holds' THEN 'live' ELSE 'stale' END AS status, CASE WHEN verdict <> 'holds' THEN {NOW} END::BIGINT AS reverified_at, CASE WHEN verdict = 'contradicted' THEN {NOW} ELSE contradicted_at END::BIGINT AS contradicted_at FROM v"""
+)
+def verdict_commit(spark, d):
+    """Stale notes after scores of a verifier that go by their ids."""
+    stale = _notes(spark, d).where("status = 'stale'")
+    score = lambda m: (F.col("id") * m) % 100 / 100.0
+    told = stale.select(F.col("id").alias("note_id"), notes.verdict(score(37), score(53)).alias("verdict"))
+    after = notes.commit_verdicts(stale, told, NOW).join(told.withColumnRenamed("note_id", "id"), "id")
+    return after.select("id", "verdict", "status", F.col("reverified_at").cast("long").alias("reverified_at"), F.col("contradicted_at").cast("long").alias("contradicted_at"))
+
+
+@query(
+    f"""{_NOTES} SELECT id, CASE WHEN b AND (id % 3 = 0 OR stale_at IS NOT NULL) THEN 'stale' WHEN b THEN 'live' ELSE status END AS status, round(CASE WHEN b THEN least(1, salience / pow(0.8, noise_count)) ELSE salience END, 9) AS salience,
+CASE WHEN b THEN 0 ELSE noise_count END::BIGINT AS noise_count, CASE WHEN b THEN {NOW} ELSE last_access END::BIGINT AS last_access FROM (SELECT *, status = 'archived' AND superseded_by IS NULL AND id % 4 <> 1 AS b FROM n)"""
+)
+def restored_notes(spark, d):
+    """Archived notes come back, where an anchor of every third one has drifted."""
+    own = _notes(spark, d)
+    none = spark.createDataFrame([], "note_id long, repo_id long, created_at long")
+    after = notes.restore(own, own.where("id % 4 <> 1").select("id"), own.where("id % 3 = 0").select(F.col("id").alias("note_id")), none, NOW)[0]
+    return after.select("id", "status", F.round("salience", 9).alias("salience"), F.col("noise_count").cast("long").alias("noise_count"), F.col("last_access").cast("long").alias("last_access"))
+
+
+class LengthVerifier:
+    """Scores by the length of the claim, and fails on lengths that end in 3."""
+
+    def ask(self, question: str, claim: str, evidence: str) -> float:
+        if len(claim) % 10 == 3:
+            raise ValueError("no answer")
+        return len(claim) % 997 / 997.0
+
+
+@query("""WITH s AS (SELECT quality = 1 AS label, CASE WHEN length(text) % 10 = 3 THEN 0 ELSE (length(text) % 997) / 997.0::DOUBLE END AS score FROM labels JOIN documents USING (doc_id)), w AS (SELECT max(score) AS worst FROM s WHERE NOT label)
+SELECT count(*) FILTER (NOT label AND score >= 0.5) AS false_accepts, count(*) FILTER (label AND score < 0.5) AS false_rejects, round(max(worst), 9) AS worst_negative FROM s, w""")
+def verifier_calibration(spark, d):
+    """A verifier over labelled documents as claims; a row that it fails on counts as rejected."""
+    pairs = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("text").alias("claim"), F.lit("e").alias("evidence"), (F.col("quality") == 1).alias("label"))
+    return evaluation.calibrate(pairs, LengthVerifier()).select("false_accepts", "false_rejects", F.round("worst_negative", 9).alias("worst_negative"))

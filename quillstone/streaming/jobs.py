@@ -37,6 +37,37 @@ def sync_stream(stream: DataFrame, apply: Callable[[DataFrame, DataFrame], None]
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
 
 
+def then_stale(commit: Callable[[DataFrame, DataFrame], None], mark: Callable[[DataFrame], None]) -> Callable[[DataFrame, DataFrame], None]:
+    """An `apply` for `sync_stream` that stores a batch first, and then gives `mark` the stored files (repo_key, relpath,
+    hash), whose anchors may be stale now.  Deleted files are not among them."""
+    from ..functions.hashing import xxh64_hex
+
+    def apply(upserts: DataFrame, deletes: DataFrame) -> None:
+        commit(upserts, deletes)
+        mark(upserts.select("repo_key", "relpath", xxh64_hex(F.col("content")).alias("hash")))
+
+    return apply
+
+
+OFFSET_OUT = "session string, offset long"
+
+
+def offset_state(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """How far a session has been read; lines that come again or late never take it back."""
+    offset = state.get[0] if state.exists else 0
+    for pdf in batches:
+        offset = max(offset, int(pdf["line_no"].max()))
+    state.update((offset,))
+    yield pd.DataFrame({"session": [key[0]], "offset": [offset]})
+
+
+def offsets(stream: DataFrame) -> DataFrame:
+    """session and its offset after each micro-batch of lines (session, line_no)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return stream.groupBy("session").applyInPandasWithState(offset_state, OFFSET_OUT, "offset long", "update", GroupStateTimeout.NoTimeout)
+
+
 def bursts(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 minutes", key: str = "user_id", ts: str = "ts") -> DataFrame:
     """A row per burst of a key's events: those closer than `gap` are one."""
     stamped = events.withWatermark(ts, late) if events.isStreaming else events
