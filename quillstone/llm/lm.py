@@ -339,7 +339,7 @@ def answer_words(bucket: int, inbox: Inbox) -> list[tuple]:
     """Word bucket: to each block, its words' customers and tables in the shared parent in each kept round."""
     kept = [x[1] for x in sorted(inbox.of(ROOT), key=lambda x: x[2])]
     out = []
-    for block, (rank, _), _, _ in inbox.of(IDS):
+    for block, (rank, _), _, _ in inbox.of(IDS) if kept else ():  # without training rows no word is known
         own = rank[rank > 0] - 1
         out.append(row(block, bucket, CHANCE, *(x[own] for n_seats in kept for x in n_seats)))
     return out
