@@ -233,4 +233,5 @@ def test_language_model_of_odd_tables(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(scores["1"]) == len(rows)
     for x, y in zip(*scores.values()):
-        assert x[:2] == y[:2] and math.isclose(x[2], y[2]) and abs(x[3] - y[3]) < 0.02 * x[1]
+        assert x[:2] == y[:2] and math.isclose(x[2], y[2]) and abs(x[3] - y[3]) < 0.15 * x[1]  # other draws of tables
+    assert abs(sum(x[3] - y[3] for x, y in zip(*scores.values()))) < 0.003 * sum(x[1] for x in scores["1"])
