@@ -175,6 +175,7 @@ class Block:
         both, times = np.unique((before * len(bucket) + flat) * 2 + out, return_counts=True)
         pair, first = np.unique(both >> 1, return_index=True)
         self.trained = np.add.reduceat(np.where(both & 1, 0, times), first) if len(pair) else pair
+        del both, times, out
         self.context, self.follower = pair // len(bucket), pair % len(bucket)
         self.flat, self.pair_at, self.buckets = flat, np.searchsorted(pair, before * len(bucket) + flat), buckets
         # Where pairs go: contexts with more than a bucket's share of the tokens by their follower too.
@@ -388,16 +389,16 @@ def shared_tables(rows: DataFrame) -> dict[int, int]:
     return out
 
 
-def score_texts(documents: DataFrame, held_out: Column, rounds: int = 4, kept: int = 3, turns: int = 3, strength: float = 1.0, seed: int = 13, block: int = 24 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(documents: DataFrame, held_out: Column, rounds: int = 4, kept: int = 3, turns: int = 3, strength: float = 1.0, seed: int = 13, block: int = 12 << 20, bucket: int = 16 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed word counts) and score, the model's
     log10 probability of the text.  Rows where `held_out` is true are not learnt from; null counts as false.
 
-    There are as many buckets as the session has shuffle partitions; `block` bounds the bytes of text a task holds."""
+    `block` bounds the bytes of text a task holds; there is a bucket for each `bucket` bytes of all texts."""
     spark = documents.sparkSession
     small_batches(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     read = documents.select(F.col(doc_id).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("text"))
     id_type = read.schema["id"].dataType
+    buckets = 1 + (read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket
 
     def of(rows: DataFrame, *kinds: int) -> DataFrame:
         return rows.where(F.col("kind").isin(*kinds) & (F.col("to") >= 0))

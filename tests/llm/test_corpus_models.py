@@ -223,14 +223,9 @@ def test_language_model_of_odd_tables(spark):
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in nothing) == [(1, 0, 0, 0.0, 0.0), (3, 0, 0, 0.0, 0.0)]
     rows = [(k, "the hot context " * 50 + f"the w{k % 40}", 1, "x") for k in range(200)] + [(7, "the w3", 1, "x"), (None, "x", 0, None)]
     docs = spark.createDataFrame(rows, schema).repartition(5)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
     scores = {}
-    try:
-        for buckets in ("1", "9"):  # with nine, contexts are dealt over several
-            spark.conf.set("spark.sql.shuffle.partitions", buckets)
-            scores[buckets] = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.base_score, r.score) for r in score_texts(docs, F.col("doc_id") % 5 == 0, block=4000).collect())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for buckets, size in (("1", 1 << 40), ("9", 18_000)):  # with nine or so, contexts are dealt over several
+        scores[buckets] = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.base_score, r.score) for r in score_texts(docs, F.col("doc_id") % 5 == 0, block=4000, bucket=size).collect())
     assert len(scores["1"]) == len(rows)
     for x, y in zip(*scores.values()):
         assert x[:2] == y[:2] and math.isclose(x[2], y[2]) and abs(x[3] - y[3]) < 0.15 * x[1]  # other draws of tables
