@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.hashing import truncate_utf8, xxh64_hex
+from .batches import sync_batches, sync_requests  # noqa: F401  part of the ingest
 from .chunking import chunk_files
 
 
@@ -77,13 +78,6 @@ def manifest_diff(disk: DataFrame, stored: DataFrame, full: bool = False) -> Dat
     return d.join(s, "relpath", "full_outer").select("relpath", F.when(F.col("now").isNull(), "delete").when(same, "unchanged").otherwise("upsert").alias("action"))
 
 
-def sync_batches(files: DataFrame) -> DataFrame:
-    """`batch` of each file (repo_key, relpath, size): by position and running bytes, in path order."""
-    w = Window.partitionBy("repo_key").orderBy("relpath").rowsBetween(Window.unboundedPreceding, -1)
-    before, n = F.coalesce(F.sum("size").over(w), F.lit(0)), F.count("*").over(w)
-    return files.withColumn("batch", F.greatest(F.floor(n / K.BATCH_FILES), F.floor(before / K.BATCH_BYTES)).cast("long"))
-
-
 def prepare(files: DataFrame) -> DataFrame:
     """Chunks of files with `input` and `content_hash` (of the input, header included)."""
     chunks = chunk_files(files)

@@ -253,13 +253,18 @@ def vector_reuse(spark, d):
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id::VARCHAR AS relpath, strlen(text) AS size FROM documents),
-w AS (SELECT relpath, count(*) OVER w AS n, coalesce(sum(size) OVER w, 0) AS b FROM s WINDOW w AS (ORDER BY relpath ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT relpath, greatest(n // {K.BATCH_FILES}, b // {K.BATCH_BYTES})::BIGINT AS batch FROM w"""
+    f"""WITH RECURSIVE f AS (SELECT coalesce(lang, '') AS repo_key, doc_id::VARCHAR AS relpath, coalesce(strlen(text), 0) * 64 AS size, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id::VARCHAR) AS i FROM documents),
+g AS (SELECT repo_key, i, relpath, size AS bytes, 1 AS n, (size > {K.BATCH_BYTES})::BIGINT AS batch FROM f WHERE i = 1
+  UNION ALL SELECT f.repo_key, f.i, f.relpath, CASE WHEN g.n >= {K.BATCH_FILES} OR g.bytes + f.size > {K.BATCH_BYTES} THEN f.size ELSE g.bytes + f.size END, CASE WHEN g.n >= {K.BATCH_FILES} OR g.bytes + f.size > {K.BATCH_BYTES} THEN 1 ELSE g.n + 1 END,
+    CASE WHEN g.n >= {K.BATCH_FILES} OR g.bytes + f.size > {K.BATCH_BYTES} THEN g.batch + 1 ELSE g.batch END FROM g JOIN f ON f.repo_key = g.repo_key AND f.i = g.i + 1)
+SELECT repo_key, relpath, batch, 'upsert' AS action FROM g UNION ALL SELECT DISTINCT coalesce(lang, ''), 'old/' || source, 0, 'delete' FROM documents"""
 )
 def sync_batches(spark, d):
-    files = table(spark, d, "documents").select(F.lit("r").alias("repo_key"), F.col("doc_id").cast("string").alias("relpath"), F.octet_length("text").alias("size"))
-    return ingest.sync_batches(files).select("relpath", "batch")
+    """Documents as files of 64 times their size (so that both limits act), languages as repositories, sources as what
+    they have lost."""
+    docs = table(spark, d, "documents").withColumn("repo_key", F.coalesce("lang", F.lit("")))
+    files = docs.select("repo_key", F.col("doc_id").cast("string").alias("relpath"), (F.octet_length("text") * 64).alias("size"))
+    return ingest.sync_requests(files, docs.select("repo_key", F.concat(F.lit("old/"), "source").alias("relpath")).distinct())
 
 
 def _notes(spark, d) -> DataFrame:
