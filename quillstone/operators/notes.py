@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import vectors as V
+from ..functions.keeping import keep, with_position
 from .search import nearest, top
 
 DAY = 86_400.0
@@ -127,13 +128,52 @@ def apply_votes(notes: DataFrame, suppressions: DataFrame, votes: DataFrame) ->
     return after, kept.unionByName(still).unionByName(new.select(*suppressions.columns))
 
 
-def supersede(notes: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """commands: old_id, new_id.  Both must exist and neither be superseded; (notes, links)."""
+def supersede(notes: DataFrame, commands: DataFrame, at_once: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """commands: seq, old_id, new_id, as if done one by one in the order of seq (distinct; without it, of the ids): a
+    command acts if both notes exist, differ and neither is superseded by then; (notes, links).
+
+    What undoes a command is an earlier one that supersedes one of its notes.  So in each round a command with no earlier
+    undecided one on either of its notes is settled: it acts, unless one that acted before is in its way.  Rounds take
+    as many as the longest chain of such commands; the last `at_once` commands are decided by one task, in order."""
     free = notes.where("superseded_by is null").select("id")
-    ok = commands.join(free.withColumnRenamed("id", "old_id"), "old_id", "left_semi").join(free.withColumnRenamed("id", "new_id"), "new_id", "left_semi").where("old_id <> new_id")
-    ok = top(ok, ["old_id"], ["new_id"], 1).drop("rank")
-    after = notes.join(ok.select(F.col("old_id").alias("id"), "new_id"), "id", "left").withColumn("superseded_by", F.coalesce("superseded_by", "new_id")).select(*notes.columns)
-    return after, ok.select(F.col("new_id").alias("note_id"), F.col("old_id").alias("related_id"), F.lit("supersedes").alias("relation"))
+    if "seq" not in commands.columns:
+        commands = with_position(commands.select("old_id", "new_id").distinct(), [], ["old_id", "new_id"], "seq")
+    left = commands.select("seq", "old_id", "new_id").where("old_id <> new_id")
+    left = keep(left.join(free.withColumnRenamed("id", "old_id"), "old_id", "left_semi").join(free.withColumnRenamed("id", "new_id"), "new_id", "left_semi"))
+    acted = left.limit(0)
+    while (n := left.count()) > at_once:
+        first = left.groupBy("old_id").agg(F.min("seq").alias("first"))
+        done = acted.select(F.col("old_id").alias("id"), F.col("seq").alias("done"))
+        said = left
+        for of in ("old", "new"):
+            said = said.join(first.select(F.col("old_id").alias(f"{of}_id"), F.col("first").alias(f"first_{of}")), f"{of}_id", "left")
+            said = said.join(done.select(F.col("id").alias(f"{of}_id"), F.col("done").alias(f"done_{of}")), f"{of}_id", "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("seq"), F.lit(False))
+        undone = before("done_old") | before("done_new")
+        state = F.when(undone, "void").when(before("first_old") | before("first_new"), "open").otherwise("acts")
+        told = keep(said.select("seq", "old_id", "new_id", state.alias("state")))
+        acted = keep(acted.unionByName(told.where("state = 'acts'").drop("state")))
+        left = told.where("state = 'open'").drop("state")
+    if n:
+        # A few: those that acted on their notes and these, in order.
+        ids = left.select(F.col("old_id").alias("id")).unionByName(left.select(F.col("new_id").alias("id"))).distinct()
+        known = acted.join(ids.withColumnRenamed("id", "old_id"), "old_id", "left_semi").withColumn("acts", F.lit(True))
+        last = known.unionByName(left.withColumn("acts", F.lit(False))).groupBy().applyInPandas(_in_order, "seq long, old_id long, new_id long")
+        acted = acted.unionByName(last)
+    after = notes.join(acted.select(F.col("old_id").alias("id"), "new_id"), "id", "left").withColumn("superseded_by", F.coalesce("superseded_by", "new_id")).select(*notes.columns)
+    return after, acted.select(F.col("new_id").alias("note_id"), F.col("old_id").alias("related_id"), F.lit("supersedes").alias("relation"))
+
+
+def _in_order(rows):
+    """Of commands in order, those that act and are not known yet."""
+    gone, out = set(), []
+    for k in rows.sort_values("seq").itertuples(index=False):
+        if k.acts:
+            gone.add(k.old_id)
+        elif k.old_id not in gone and k.new_id not in gone:
+            gone.add(k.old_id)
+            out.append((k.seq, k.old_id, k.new_id))
+    return rows.iloc[:0][["seq", "old_id", "new_id"]] if not out else type(rows)(out, columns=["seq", "old_id", "new_id"])
 
 
 def mark_stale(notes: DataFrame, drifted: DataFrame, now: int) -> DataFrame:

@@ -383,10 +383,21 @@ def work_lists(spark, d):
     return nested.select("id", F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",").alias("items"), F.array_join(F.transform("state", lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("state"))
 
 
-@query(f"{_NOTES}, c AS (SELECT id AS old_id, id + 1 AS new_id FROM n WHERE id % 4 = 1), f AS (SELECT id FROM n WHERE superseded_by IS NULL) SELECT new_id AS note_id, old_id AS related_id, 'supersedes' AS relation FROM c WHERE old_id IN (SELECT id FROM f) AND new_id IN (SELECT id FROM f)")
+@query(
+    f"""WITH RECURSIVE {_NOTES[5:]}, c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY event_id) AS k, user_id AS old_id, (user_id * 7 + event_id) % (SELECT max(user_id) FROM events) AS new_id FROM events WHERE event_type = 'purchase'),
+f AS MATERIALIZED (SELECT list(id) AS free FROM n WHERE superseded_by IS NULL),
+g AS (SELECT 0::BIGINT AS k, free, NULL::BIGINT AS old_id, NULL::BIGINT AS new_id, false AS acts FROM f
+  UNION ALL SELECT c.k, CASE WHEN ok THEN list_filter(free, lambda x: x <> c.old_id) ELSE free END, c.old_id, c.new_id, ok
+  FROM (SELECT c.*, g.free, c.old_id <> c.new_id AND list_contains(g.free, c.old_id) AND list_contains(g.free, c.new_id) AS ok FROM g JOIN c ON c.k = g.k + 1) c)
+SELECT new_id AS note_id, old_id AS related_id, 'supersedes' AS relation FROM g WHERE acts"""
+)
 def supersede_chain(spark, d):
-    own = _notes(spark, d)
-    return notes.supersede(own, own.where("id % 4 = 1").select(F.col("id").alias("old_id"), (F.col("id") + 1).alias("new_id")))[1]
+    """Purchases as commands, one by one: each supersedes its user's note by another, so that chains, cycles and commands
+    on one note abound."""
+    e = table(spark, d, "events")
+    most = e.agg(F.max("user_id").alias("most"))
+    commands = e.where("event_type = 'purchase'").join(F.broadcast(most)).select(F.col("event_id").alias("seq"), F.col("user_id").alias("old_id"), ((F.col("user_id") * 7 + F.col("event_id")) % F.col("most")).alias("new_id"))
+    return notes.supersede(_notes(spark, d), commands)[1]
 
 
 _SCORED = "WITH s AS (SELECT quality = 1 AS label, (n_chars % 997) / 997.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"

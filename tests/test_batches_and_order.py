@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quillstone.functions.keeping import with_position
+from quillstone.operators import notes as N
 from quillstone.operators.batches import sync_batches, sync_requests
 
 FILES = "repo_key string, relpath string, size long, tag string"
@@ -49,3 +50,18 @@ def test_positions(spark):
     rows = [(g, k) for g, n in (("a", 500), ("b", 1), ("c", 40)) for k in range(n)]
     got = with_position(spark.createDataFrame(rows, "g string, k int").repartition(5), ["g"], ["k"])
     assert got.columns == ["g", "k", "position"] and all(r.position == r.k for r in got.collect()) and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("at_once", [0, 5, 10_000])
+def test_commands_supersede_as_one_by_one(spark, at_once):
+    rng = random.Random(at_once + 1)
+    notes = [(k, k % 7 if k % 9 == 0 else None) for k in range(60)]
+    commands = [(10 * s, rng.randrange(62), rng.randrange(62)) for s in range(150)] + [(3, 1, 2), (4, 2, 1), (5, 2, 5), (6, 5, 8), (7, 8, 8), (8, None, 3)]
+    free, want = {k for k, by in notes if by is None}, set()
+    for _, old, new in sorted(commands, key=lambda c: c[0]):
+        if old != new and old in free and new in free:
+            free.discard(old)
+            want.add((new, old))
+    after, links = N.supersede(spark.createDataFrame(notes, "id long, superseded_by long"), spark.createDataFrame(commands, "seq long, old_id long, new_id long"), at_once)
+    assert {(r.note_id, r.related_id) for r in links.collect()} == want and (2, 1) in want and (1, 2) not in want
+    assert {r.id for r in after.where("superseded_by is null").collect()} == free
