@@ -5,13 +5,17 @@ votes on notes (users as notes), orders for files and work items, lineitem for l
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import capture, evaluation, ingest, notes, search, work
+from ..functions.hashing import xxh64_hex
+from ..functions.keeping import shared_folder
+from ..operators import capture, evaluation, ingest, notes, search, store, work
 
 NOW = 1_706_745_600  # 2024-02-01T00:00:00Z
 DIM = 64
@@ -267,6 +271,29 @@ def sync_batches(spark, d):
     return ingest.sync_requests(files, docs.select("repo_key", F.concat(F.lit("old/"), "source").alias("relpath")).distinct())
 
 
+@query(
+    """WITH f AS (SELECT doc_id, strlen(text) AS n, doc_id % 5 = 0 AS changed, doc_id % 7 = 0 AS deleted FROM documents)
+SELECT doc_id, CASE WHEN deleted AND changed THEN n + 3 WHEN deleted THEN NULL WHEN changed THEN n + 2 ELSE n END::BIGINT AS size, CASE WHEN changed THEN 'stale' ELSE 'live' END AS status, CASE WHEN changed THEN CASE WHEN deleted THEN 300 ELSE 200 END END::BIGINT AS stale_at FROM f"""
+)
+def store_replay(spark, d):
+    """Commits of documents, each with a note anchored to its first text: all of them; then a fifth changed and a seventh
+    deleted, twice, as a batch that comes again; then those in both added again.  What is stored, and which notes are stale."""
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    own, embedder = store.Store(spark, folder, 16), ingest.HashEmbedder(8)
+    docs = table(spark, d, "documents").select("doc_id", F.lit("r").alias("repo_key"), F.col("doc_id").cast("string").alias("relpath"), F.col("text").alias("content"), F.lit(1).cast("long").alias("mtime_ms"))
+    none, empty = docs.limit(0).select("repo_key", "relpath"), [F.lit(None).cast("long").alias(c) for c in ("repo_id", "superseded_by", "stale_at", "helpful_at", "reverified_at", "contradicted_at")]
+    zero = [F.lit(0).cast("long").alias(c) for c in ("created_at", "last_access", "access_count", "helpful_count", "noise_count")]
+    own.put("notes", docs.select(F.col("doc_id").alias("id"), F.lit("fact").alias("kind"), F.lit("c").alias("content"), F.lit(0.5).alias("salience"), F.lit("live").alias("status"), F.lit("agent").alias("source"), *empty, *zero))
+    own.put("anchors", docs.select("repo_key", "relpath", xxh64_hex(F.col("content")).alias("hash"), F.col("doc_id").alias("note_id")), whole_keys=False)
+    own.commit(docs, none, embedder, 100, 0)
+    with_more = lambda rows, more: rows.withColumn("content", F.concat("content", F.lit(more)))
+    for _ in range(2):
+        own.commit(with_more(docs.where("doc_id % 5 = 0 and doc_id % 7 <> 0"), "\nx"), docs.where("doc_id % 7 = 0").select("repo_key", "relpath"), embedder, 200, 1)
+    own.commit(with_more(docs.where("doc_id % 35 = 0"), "\nyz"), none, embedder, 300, 2)
+    sizes = own.table("files").select(F.col("relpath").cast("long").alias("doc_id"), "size")
+    return own.table("notes").select(F.col("id").alias("doc_id"), "status", "stale_at").join(sizes, "doc_id", "left").select("doc_id", "size", "status", "stale_at")
+
+
 def _notes(spark, d) -> DataFrame:
     """A note for each user: purchases are helpful votes, errors noise, views uses."""
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(

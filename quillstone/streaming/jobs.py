@@ -49,6 +49,17 @@ def then_stale(commit: Callable[[DataFrame, DataFrame], None], mark: Callable[[D
     return apply
 
 
+def store_stream(stream: DataFrame, store, embedder, clock: Callable[[], int], checkpoint: str, trigger: dict | None = None):
+    """Each micro-batch of uploads is one commit of a `Store`, staleness included; one that comes again changes nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        last = latest(batch)
+        keep = ~F.coalesce("deleted", F.lit(False))
+        store.commit(last.where(keep).drop("deleted"), last.where("deleted").select("repo_key", "relpath"), embedder, clock(), number)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
+
+
 OFFSET_OUT = "session string, offset long"
 
 
