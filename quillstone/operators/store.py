@@ -6,12 +6,14 @@ at once, says for each bucket of each table under which version it lies; before
 A commit that was broken off leaves data that nothing names, and is written over when it is tried again.  The number
 of the last micro-batch is part of the commit, so a batch that comes again changes nothing.  There is one writer at a time.
 
-Tables: files (repo_key, relpath), chunks (same key), vectors (content_hash), anchors (repo_key, relpath) and notes (id).
+Tables: files (repo_key, relpath), chunks and lengths (same key), vectors (content_hash), anchors (repo_key, relpath) and
+notes (id).  The lexical index has a segment for each commit (see lexicon), until `merge` puts them together.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import xxh64_hex
 from ..functions.keeping import keep, with_position
+from . import lexicon as L
 from . import notes as N
 from .ingest import Embedder, embed_with, prepare
 
@@ -26,10 +29,11 @@ SCHEMAS = {
     "files": "repo_key string, relpath string, hash string, size long, mtime_ms long",
     "chunks": "chunk_id long, repo_key string, relpath string, seq int, start_line int, end_line int, symbol string, content string, content_hash string, mtime_ms long",
     "vectors": "content_hash string, embedding array<float>",
+    "lengths": "chunk_id long, repo_key string, relpath string, len long",
     "anchors": "repo_key string, relpath string, hash string, note_id long",
     "notes": "id long, repo_id long, kind string, content string, salience double, status string, superseded_by long, created_at long, last_access long, access_count long, helpful_count long, noise_count long, source string, stale_at long, helpful_at long, reverified_at long, contradicted_at long",
 }
-KEYS = {"files": ["repo_key", "relpath"], "chunks": ["repo_key", "relpath"], "anchors": ["repo_key", "relpath"], "vectors": ["content_hash"], "notes": ["id"]}
+KEYS = {"files": ["repo_key", "relpath"], "lengths": ["repo_key", "relpath"], "chunks": ["repo_key", "relpath"], "anchors": ["repo_key", "relpath"], "vectors": ["content_hash"], "notes": ["id"]}
 _COMMIT = "version long, batch long, last_chunk long, table string, bucket int, at long"
 
 
@@ -131,6 +135,11 @@ class Store:
         chunks = without("chunks")
         self._write("chunks", new.version, chunks.unionByName(numbered.select(*chunks.columns)), touched, new.at)
         new.last_chunk += made.count()
+        segment = f"{self.folder}/data/segments/v={new.version}"
+        L.write_segment(numbered, segment)
+        lengths = without("lengths")
+        self._write("lengths", new.version, lengths.unionByName(self.spark.read.parquet(f"{segment}/lengths").select(*lengths.columns)), touched, new.at)
+        new.at["segments", new.version] = new.version
 
         hashes = self._touched("vectors", made)
         known = self.table("vectors", old, hashes)
@@ -145,6 +154,25 @@ class Store:
         self._write("notes", new.version, N.mark_stale(self.table("notes", old, due), drifted, now), due, new.at)
         return self._mark(new)
 
+    def index(self, commit: Commit | None = None) -> L.Index:
+        """The lexical index as of a commit."""
+        commit = commit or self.latest()
+        folders = [f"{self.folder}/data/segments/v={v}" for (t, _), v in sorted(commit.at.items()) if t == "segments"]
+        words = [self.spark.read.schema("term string").parquet(f"{f}/vocabulary") for f in folders]
+        vocabulary = reduce(DataFrame.unionByName, words) if words else self.spark.createDataFrame([], "term string")
+        return L.Index(L.read_entries(self.spark, [f"{f}/entries" for f in folders]), vocabulary, self.table("lengths", commit))
+
+    def merge(self) -> Commit:
+        """One segment in place of all, without the entries of chunks that are gone."""
+        old = self.latest()
+        new = Commit(old.version + 1, old.batch, old.last_chunk, {k: v for k, v in old.at.items() if k[0] != "segments"})
+        folder, own = f"{self.folder}/data/segments/v={new.version}", self.index(old)
+        live = own.entries.join(own.lengths.select("chunk_id"), "chunk_id", "left_semi").select(*own.entries.columns)
+        live.repartition("bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/entries")
+        L.read_entries(self.spark, [f"{folder}/entries"]).select("term").distinct().write.mode("overwrite").parquet(f"{folder}/vocabulary")
+        new.at["segments", new.version] = new.version
+        return self._mark(new)
+
     def searchable(self, commit: Commit | None = None) -> DataFrame:
         """Chunks with their vectors, as the searches take them."""
         commit = commit or self.latest()

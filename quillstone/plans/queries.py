@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.hashing import xxh64_hex
 from ..functions.keeping import shared_folder
-from ..operators import capture, evaluation, ingest, notes, search, store, work
+from ..operators import capture, evaluation, ingest, lexicon, notes, search, store, work
 
 NOW = 1_706_745_600  # 2024-02-01T00:00:00Z
 DIM = 64
@@ -113,10 +113,66 @@ s AS (SELECT item_id AS query_id, doc_id AS chunk_id, -sum(greatest(1e-6, ln((n_
 lexical AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), chunk_id) - 1 AS rank FROM s QUALIFY rank < {{}})"""
 
 
+_INDEXED: dict[tuple, str] = {}
+
+
+def _index(spark, d, name: str, chunks: DataFrame, fields: list[str]) -> lexicon.Index:
+    """The kept index of chunks: written by the first query of a session that asks for it, read by all."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXED:
+        folder = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}"
+        lexicon.write_segment(chunks, folder, fields)
+        _INDEXED[key] = folder
+    return lexicon.read_segment(spark, _INDEXED[key])
+
+
 def _lexical(spark, d, k=10):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return search.lexical(q, c, k, ["content"])
+    return lexicon.search_index(q, _index(spark, d, "content", c, ["content"]), k)
+
+
+_FIELDS = f"""
+WITH d AS (SELECT doc_id, text AS content, source AS symbol, lang || '/' || source || '/' || doc_id AS relpath FROM documents),
+toks AS (SELECT item_id, list_filter({_TOK.format("text || ' src_' || (item_id % 20) || ' ' || coalesce(array_to_string(string_split(text, ' ')[3:4], '_'), '')")}, lambda t: strlen(t) >= 2) AS ts FROM benchmark),
+qt AS (SELECT item_id, p, ts[p] AS tok FROM (SELECT item_id, list_concat(ts[1:10], ts[-2:]) AS ts, unnest(range(1, 13)) AS p FROM toks)),
+q AS (SELECT item_id, p, {_TERMS.format('tok')} AS terms, strlen(tok) >= 4 AS pre FROM qt WHERE tok IS NOT NULL),
+part AS (SELECT doc_id, 'content' AS field, 1.0 AS w, {_TERMS.format('content')} AS terms FROM d UNION ALL SELECT doc_id, 'symbol', 2.0, {_TERMS.format('symbol')} FROM d UNION ALL SELECT doc_id, 'relpath', 2.5, {_TERMS.format('relpath')} FROM d),
+w AS (SELECT doc_id, field, w, unnest(terms) AS term, unnest(range(1, len(terms) + 1)) AS pos FROM part),
+dl AS (SELECT doc_id, sum(len(terms)) AS len FROM part GROUP BY doc_id),
+st AS (SELECT count(*) AS n_all, sum(len) AS len_all FROM dl),
+v AS (SELECT DISTINCT term FROM w),
+m AS (SELECT item_id, p, i, len(terms) AS n, v.term FROM (SELECT *, unnest(range(1, len(terms) + 1)) AS i FROM q) q JOIN v ON CASE WHEN pre AND i = len(terms) THEN starts_with(v.term, terms[i]) ELSE v.term = terms[i] END),
+hit AS (SELECT item_id, p, doc_id, field, any_value(w) AS w, pos - i AS start FROM m JOIN w USING (term) GROUP BY item_id, p, n, doc_id, field, pos - i HAVING count(DISTINCT i) = n),
+f AS (SELECT item_id, p, doc_id, sum(w) AS f FROM hit GROUP BY ALL),
+idf AS (SELECT item_id, p, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(-sum(greatest(1e-6, ln((n_all - n + 0.5) / (n + 0.5))) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len * n_all / len_all))), 6) AS score
+  FROM f JOIN idf USING (item_id, p) JOIN dl USING (doc_id), st GROUP BY ALL)"""
+
+
+def _in_fields(spark, d, **of) -> DataFrame:
+    """Items as queries over text, source and path: ten of their words, a source as a phrase, and two words as a phrase."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("symbol"), F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("relpath"))
+    words = F.split("text", " ", -1)
+    said = F.concat("text", F.lit(" src_"), (F.col("item_id") % 20).cast("string"), F.lit(" "), F.array_join(F.slice(words, 3, 2), "_"))
+    tokens = T.query_tokens(said)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.concat(F.slice(tokens, 1, 10), F.slice(tokens, -2, 2)), " ").alias("query"))
+    return lexicon.search_index(q, _index(spark, d, "fields", docs, list(K.FIELD_WEIGHTS)), 10, **of).select("query_id", "chunk_id", "score")
+
+
+_TEN = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) <= 10"
+
+
+@query(f"{_FIELDS} SELECT query_id, chunk_id, score FROM s {_TEN}")
+def bm25_fields(spark, d):
+    """Three fields, phrases of several terms and prefixes."""
+    return _in_fields(spark, d)
+
+
+@query(f"{_FIELDS} SELECT query_id, chunk_id, score FROM s JOIN d ON d.doc_id = s.chunk_id WHERE relpath ILIKE 'EN/src1%' {_TEN}")
+def bm25_path_filter(spark, d):
+    """The same below a path; statistics stay those of all."""
+    return _in_fields(spark, d, prefix="EN/src1/")
 
 
 @query(f"{_BM25.replace('{}', '10')} SELECT query_id, chunk_id, round(score, 6) AS score FROM lexical")

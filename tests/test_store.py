@@ -5,6 +5,8 @@ import os
 
 from quillstone.functions.hashing import xxh64_hex
 from quillstone.operators import ingest as I
+from quillstone.operators import lexicon as L
+from quillstone.operators import search as S
 from quillstone.operators.store import SCHEMAS, Store
 from quillstone.streaming import jobs
 from pyspark.sql import functions as F
@@ -70,3 +72,19 @@ def test_a_stream_of_commits(spark, tmp_path):
         os.rename(part, source / f"{k}.json")
         jobs.store_stream(jobs.uploads(spark, str(source)), store, I.HashEmbedder(8), lambda: 7, str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
     assert {(r.relpath, r.symbol) for r in store.table("chunks").collect()} == {("a.rs", "f3"), ("b.rs", "f2")} and store.latest().batch == 1
+
+
+def test_the_lexical_index_follows_commits(spark, tmp_path):
+    """Segments with gone chunks, and one merged segment, find what an index of the live chunks finds."""
+    store, embedder, none = Store(spark, str(tmp_path / "s"), 4), I.HashEmbedder(4), spark.createDataFrame([], PATHS)
+    store.commit(rows(spark, {f"d/f{k}.rs": text(k, "// back_off retry\n" * (k % 3)) for k in range(12)}), none, embedder, 1)
+    store.commit(rows(spark, {"d/f1.rs": text(1, "// nothing\n"), "e/new.rs": text(50, "// back_off\n")}), spark.createDataFrame([("r", "d/f2.rs")], PATHS), embedder, 2)
+    queries = spark.createDataFrame([(1, "back_off"), (2, "retr f7"), (3, "nothing zzz"), (4, "")], "query_id long, query string")
+    plain = lambda df: sorted((r.query_id, r.chunk_id, r.score, r.rank) for r in df.collect())
+    for of in ({}, {"prefix": "D/"}, {"few": 0}):
+        want = plain(S.lexical(queries, store.table("chunks"), 5, prefix=of.get("prefix")))
+        assert plain(L.search_index(queries, store.index(), 5, **of)) == want and want
+    merged = store.merge()
+    assert plain(L.search_index(queries, store.index(), 5)) == plain(S.lexical(queries, store.table("chunks"), 5))
+    assert [v for (t, _), v in merged.at.items() if t == "segments"] == [merged.version] and store.index().entries.where("term = 'f2'").count() == 0
+    assert plain(L.search_index(queries, Store(spark, str(tmp_path / "none"), 4).index(), 5)) == []
