@@ -36,8 +36,9 @@ ASSIGNED = f"(?i:{NAMES}){SIGN}(?=[^\\s\"',;<>]{{6}})[^\\s\"',;<>]++"
 HEADER = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
 _BODY = "A-Za-z0-9+/=:,.\\s\\x01\\\\"
 #: A private key; within a line, its line breaks are written U+0001.
-BLOCK = f"{HEADER}(?:[{_BODY}]*+(?:-[{_BODY}]++){{0,50}}+-----END [A-Z0-9 ]*PRIVATE KEY-----|(?:[A-Za-z0-9+/=\\r\\n\\x01]*[A-Za-z0-9+/=](?![^\\r\\n\\x01]))?)"
-ISSUED = "(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"  # may have no digit
+BLOCK = f"{HEADER}(?:[{_BODY}]*+(?:-[{_BODY}]++)*+-----END [A-Z0-9 ]*PRIVATE KEY-----|(?:[A-Za-z0-9+/=\\r\\n\\x01]*[A-Za-z0-9+/=](?![^\\r\\n\\x01]))?)"
+#: Issued keys, by their beginnings; they may have no digit.
+ISSUED = "(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|glpat-|xox[abprs]-|[sr]k_live_|sk_test_)[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])"
 CANDIDATE = f"{BLOCK}|{ASSIGNED}|{ISSUED}|{GENERIC}"
 #: A line without this has no candidate.
 HINT = f"{GENERIC}|{ISSUED}|(?i:{NAMES})[\"']?\\s*+[:=]|{HEADER}"

@@ -230,3 +230,15 @@ def test_language_model_of_odd_tables(spark):
     for x, y in zip(*scores.values()):
         assert x[:2] == y[:2] and math.isclose(x[2], y[2]) and abs(x[3] - y[3]) < 0.15 * x[1]  # other draws of tables
     assert abs(sum(x[3] - y[3] for x, y in zip(*scores.values()))) < 0.003 * sum(x[1] for x in scores["1"])
+
+
+def test_long_private_keys_and_issued_keys_of_letters(spark):
+    from quillstone.llm.secrets import mask_secrets
+
+    body = "-".join("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo" for _ in range(200))
+    key = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    texts = [f"before\n{key}\nafter", "the token glpat-abcdefghijKLMNOPqrst is ours", "set ghp_abcdefghijklmnopqrstuvwxyzABCDEFGHIJ now"]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in mask_secrets(docs).collect()}
+    assert "QUJD" not in got[0] and got[0].startswith("before") and got[0].endswith("after")
+    assert "abcdefghij" not in got[1] and got[1].startswith("the token ") and "abcdefghij" not in got[2]
