@@ -99,18 +99,27 @@ def injected_notes(lines: DataFrame) -> DataFrame:
     return own.groupBy("session", "note_id").agg(F.max_by(F.struct("kind", "content"), F.struct("line_no", "k")).alias("v")).select("session", "note_id", "v.*")
 
 
-def render(own: DataFrame, cap: int, gap: str = "\n...\n") -> DataFrame:
-    """session, text: the first entries up to a third of the cap, the last ones up to the rest, a mark between."""
+def render(own: DataFrame, cap: int) -> DataFrame:
+    """session, text: all entries (numbered n from 1) if they fit; else the first ones up to a third of the cap, a line that
+    says which are left out, and the last ones up to the rest."""
     line = F.concat(F.lit("[#"), F.col("n").cast("string"), F.lit("] "), "kind", F.lit(": "), "body")
     rows = own.withColumn("line", line).withColumn("len", F.length("line") + 1)
     w = Window.partitionBy("session")
-    rows = rows.withColumns({"head": F.sum("len").over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)), "tail": F.sum("len").over(w.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("len").over(w)})
+    up, down = w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0), w.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"head": F.sum("len").over(up), "tail": F.sum("len").over(down), "all": F.sum("len").over(w), "last": F.max("n").over(w)})
     # The head's own length, known by window, is what the tail leaves to it.
-    rows = rows.withColumn("first", F.max(F.when(F.col("head") <= cap // 3, F.col("head"))).over(w))
-    kept = rows.where((F.col("all") <= cap) | (F.col("head") <= cap // 3) | (F.col("tail") <= cap - F.coalesce("first", F.lit(0))))
-    parts = kept.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("p"), F.first("all").alias("all"))
-    marked = F.transform("p", lambda x, i: F.concat(F.when((i > 0) & (x["n"] - F.get("p", i - 1)["n"] > 1), F.lit(gap)).when(i > 0, F.lit("\n")).otherwise(F.lit("")), x["line"]))
-    return parts.select("session", F.array_join(marked, "").alias("text"))
+    rows = rows.withColumn("first", F.coalesce(F.max(F.when(F.col("head") <= cap // 3, F.col("head"))).over(w), F.lit(0)))
+    fits = F.col("all") <= cap
+    in_head = fits | (F.col("head") <= cap // 3)
+    in_tail = ~in_head & (F.col("tail") <= cap - F.col("first"))
+    lines = lambda x: F.array_join(F.transform(F.array_sort(x), lambda y: y["line"]), "\n")
+    told = rows.groupBy("session").agg(
+        F.collect_list(F.when(in_head, F.struct("n", "line"))).alias("h"), F.collect_list(F.when(in_tail, F.struct("n", "line"))).alias("t"), F.min(F.when(in_tail, F.col("n"))).alias("from"),
+        F.first("last").alias("last"), F.first(fits).alias("fits"),
+    )
+    gap = F.format_string("[... entries #%d-#%d omitted ...]", F.size("h").cast("long") + 1, F.coalesce(F.col("from") - 1, F.col("last")).cast("long"))
+    some = lambda x: F.when(F.size(x) > 0, lines(x))
+    return told.select("session", F.when(F.col("fits"), lines("h")).otherwise(F.concat_ws("\n", some("h"), gap, some("t"))).alias("text"))
 
 
 def squeeze(text: Column) -> Column:

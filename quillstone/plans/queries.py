@@ -83,13 +83,14 @@ def binary_coarse(spark, d):
 
 @query()
 def ann_recall_curve(spark, d):
-    """Recall of the two-phase scan by the size of its first phase, over every vector whose id is divisible by 20."""
+    """Recall of the two-phase scan by the size of its first phase, over every vector whose id is divisible by 20; a vector
+    is not its own neighbour."""
     q, c = _vectors(spark, d)
-    q = q.where("query_id % 20 = 0")
-    exact = search.nearest(q, c, 10)
+    q, own = q.where("query_id % 20 = 0"), F.col("query_id") == F.col("chunk_id")
+    exact = search.nearest(q, c, 10, exclude=own)
     out = None
     for n in (100, 200, 400, 800, 1600):
-        r = evaluation.ann_recall(exact, search.nearest_coarse(q, c, 10, DIM, n), 10).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(n).alias("coarse_k"), "recall")
+        r = evaluation.ann_recall(exact, search.nearest_coarse(q, c, 10, DIM, n, own), 10).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(n).alias("coarse_k"), "recall")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -350,6 +351,23 @@ def store_replay(spark, d):
     return own.table("notes").select(F.col("id").alias("doc_id"), "status", "stale_at").join(sizes, "doc_id", "left").select("doc_id", "size", "status", "stale_at")
 
 
+@query(
+    r"""WITH e AS (SELECT conv_id::VARCHAR AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, role AS kind, coalesce(text, '') AS body FROM conversations),
+l AS (SELECT *, '[#' || n || '] ' || kind || ': ' || body AS line, length('[#' || n || '] ' || kind || ': ' || body) + 1 AS len FROM e),
+r AS (SELECT *, sum(len) OVER (PARTITION BY session ORDER BY n) AS head, sum(len) OVER (PARTITION BY session ORDER BY n DESC) AS tail, sum(len) OVER (PARTITION BY session) AS total, count(*) OVER (PARTITION BY session) AS last FROM l),
+f AS (SELECT *, coalesce(max(head) FILTER (head <= 200) OVER (PARTITION BY session), 0) AS used FROM r),
+k AS (SELECT *, total <= 600 OR head <= 200 AS in_head, total > 600 AND head > 200 AND tail <= 600 - used AS in_tail FROM f),
+g AS (SELECT session, any_value(total) AS total, any_value(last) AS last, count(*) FILTER (in_head) AS h, min(n) FILTER (in_tail) AS t, string_agg(line, chr(10) ORDER BY n) FILTER (in_head) AS head, string_agg(line, chr(10) ORDER BY n) FILTER (in_tail) AS tail FROM k GROUP BY session)
+SELECT session, CASE WHEN total <= 600 THEN head ELSE concat_ws(chr(10), head, '[... entries #' || (h + 1) || '-#' || coalesce(t - 1, last) || ' omitted ...]', tail) END AS text FROM g"""
+)
+def capped_render(spark, d):
+    """Conversations as transcripts of at most 600 letters: a third for the first entries, the last ones, and what is left out."""
+    c = table(spark, d, "conversations")
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    own = c.select(F.col("conv_id").cast("string").alias("session"), n.cast("long").alias("n"), F.col("role").alias("kind"), F.coalesce("text", F.lit("")).alias("body"))
+    return capture.render(own, 600)
+
+
 def _notes(spark, d) -> DataFrame:
     """A note for each user: purchases are helpful votes, errors noise, views uses."""
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(
