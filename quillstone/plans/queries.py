@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.hashing import xxh64_hex
 from ..functions.keeping import shared_folder
-from ..operators import capture, evaluation, ingest, lexicon, notes, search, store, work
+from ..operators import capture, evaluation, hashed, ingest, lexicon, notes, search, store, work
 
 NOW = 1_706_745_600  # 2024-02-01T00:00:00Z
 DIM = 64
@@ -81,6 +81,44 @@ def binary_coarse(spark, d):
     return search.nearest_coarse(q.where("query_id % 20 = 0"), c, 10, DIM).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"WITH e AS {_BITS} SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, bit_count(xor(q.bits, e.bits))::INTEGER AS h FROM e q, e WHERE bit_count(xor(q.bits, e.bits)) <= 19")
+def hamming_within(spark, d):
+    """All pairs of vectors whose sign bits differ in at most 19 of 64 places, by multi-index hashing."""
+    q, c = _vectors(spark, d)
+    return hashed.within(q, c, DIM, 19, hashed.pieces(DIM, 19, 4))
+
+
+_TURNED = """t AS (SELECT vec_id * 20 + i AS chunk_id, list_concat(embedding[i + 1:], embedding[:i]) AS embedding FROM embeddings, range(20) r(i)),
+e AS (SELECT *, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS bits FROM t), q AS (SELECT * FROM e WHERE chunk_id % 400 = 0)"""
+
+
+@query(
+    f"""WITH {_TURNED}, h AS (SELECT q.chunk_id AS query_id, e.chunk_id, q.embedding AS a, e.embedding AS b FROM q, e WHERE q.chunk_id <> e.chunk_id
+  QUALIFY row_number() OVER (PARTITION BY q.chunk_id ORDER BY bit_count(xor(q.bits, e.bits)), e.chunk_id) <= (SELECT if(count(*) > 8192, 200, count(*)) FROM e))
+SELECT query_id, chunk_id, round(1 - list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 6) AS distance FROM h
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), chunk_id) <= 10"""
+)
+def adaptive_legs(spark, d):
+    """Vectors whose id is divisible by 20 against every vector in twenty turns: by the size of that, exact or in two phases."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
+    turned = F.concat(F.slice("embedding", F.col("i") + 1, DIM), F.slice("embedding", F.lit(1), F.col("i")))
+    c = e.select((F.col("vec_id") * 20 + F.col("i")).alias("chunk_id"), turned.alias("embedding"))
+    q = c.where("chunk_id % 400 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = search.nearest_adaptive(q, c, 10, DIM, exclude=F.col("query_id") == F.col("chunk_id"))
+    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def recall_to_target(spark, d):
+    """The recall that a search to a target of 0.95 reaches, and its radius of sign bits, over every vector whose id is
+    divisible by 20; a vector is not its own neighbour."""
+    q, c = _vectors(spark, d)
+    q, own = q.where("query_id % 20 = 0"), F.col("query_id") == F.col("chunk_id")
+    radius = hashed.fit_radius(q, c, 10, DIM, 0.95, own)
+    reached = evaluation.ann_recall(search.nearest(q, c, 10, exclude=own), hashed.nearest_to_recall(q, c, 10, DIM, 0.95, own), 10)
+    return reached.agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(radius).alias("radius"), F.lit(hashed.plan(DIM, radius) is not None).alias("by_hashing"), "recall")
+
+
 @query()
 def ann_recall_curve(spark, d):
     """Recall of the two-phase scan by the size of its first phase, over every vector whose id is divisible by 20; a vector
