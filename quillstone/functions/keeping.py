@@ -37,3 +37,21 @@ def with_position(rows: DataFrame, group: list[str], order: list[str], name: str
     counts = counts.select(*group, "__task", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     numbered = placed.join(counts, [*group, "__task"]).withColumn(name, F.col("__before") + F.col("__row") - F.col("__first"))
     return numbered.select(*rows.columns, name)
+
+
+def with_running(rows: DataFrame, group: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """`rows` with the sum of `amount` over the rows of the group before it, in the given order (of distinct rows).
+
+    Rows are dealt out by range, so a group of any size is shared by many tasks; each part starts at the sum of those before
+    it, which a window over one row a task and group gives."""
+    placed = keep(rows.repartitionByRange(*group, *order).withColumn("__task", F.spark_partition_id()))
+    sums = placed.groupBy(*group, "__task").agg(F.sum(amount).alias("__sum"))
+    key = group or [F.lit(0)]
+    earlier = Window.partitionBy(*key).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__task").alias("__t"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    same = F.col("__task") == F.col("__t")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    own = Window.partitionBy(*group, "__task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.withColumn("__own", F.coalesce(F.sum(amount).over(own), F.lit(0)))
+    return within.join(start, same).withColumn(name, F.col("__before") + F.col("__own")).select(*rows.columns, name)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.keeping import with_running
 
 
 def expectation(expect: Column) -> Column:
@@ -27,13 +31,32 @@ def summarize(ranks: DataFrame, k: int = 10) -> DataFrame:
     return ranks.agg(F.count("*").alias("cases"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("recall"), F.avg(F.when(hit, 1.0 / (F.col("rank") + 1)).otherwise(0.0)).alias("mrr"))
 
 
-def percentile(df: DataFrame, column: str, p: int, keys: list[str] | None = None) -> DataFrame:
-    """The value at index (n - 1) * p / 100, rounded down, of the sorted values: found by rank, so that no
-    list of a group's values is built."""
+def ranked_values(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, v, times, below, n: each distinct value that is not null, how often it occurs, how many rows have a smaller
+    one, and how many rows there are.  No task holds all values of a group."""
     keys = keys or []
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("v"), (F.row_number().over(w.orderBy(column)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("i") == F.floor((F.col("n") - 1) * p / 100)).select(*keys, F.col("v").alias(f"p{p}"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("times"))
+    below = with_running(counts, keys, ["v"], "times", "below")
+    n = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum("times").alias("n"))
+    if not keys:
+        return below.crossJoin(F.broadcast(n))  # one row
+    return below.join(n, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("below") <= rank) & (rank < F.col("below") + F.col("times"))
+
+
+def percentile(df: DataFrame, column: str, p: int, keys: list[str] | None = None) -> DataFrame:
+    """The value at index (n - 1) * p / 100, rounded down, of the sorted values that are not null, for each of `keys`."""
+    return ranked_values(df, column, keys).where(_holds(F.floor((F.col("n") - 1) * p / 100))).select(*(keys or []), F.col("v").alias(f"p{p}"))
+
+
+def median(df: DataFrame, column: str) -> DataFrame:
+    """One row: the exact median, the mean of the two middle values of an even number; null without values."""
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = ranked_values(df, column)
+    return middle.agg((F.sum(F.when(_holds(low), F.col("v").cast("double"))) / 2 + F.sum(F.when(_holds(high), F.col("v").cast("double"))) / 2).alias("median"))
 
 
 def spread(runs: DataFrame, column: str) -> DataFrame:
@@ -45,8 +68,7 @@ def auroc(scored: DataFrame) -> DataFrame:
 
     Counts by distinct score are enough, so equal scores never meet as pairs."""
     by = scored.groupBy("score").agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("below", below).agg((F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
+    return with_running(by, [], ["score"], "n", "below").agg((F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
 
 
 def calibration(scored: DataFrame, threshold: float) -> DataFrame:
@@ -55,10 +77,11 @@ def calibration(scored: DataFrame, threshold: float) -> DataFrame:
     s = F.coalesce("score", F.lit(0.0))
     rows = scored.withColumn("s", s)
     worst = rows.where(~F.col("label")).agg(F.max("s").alias("worst"))
-    return rows.crossJoin(F.broadcast(worst)).agg(
-        F.median("s").alias("median"), F.count_if(~F.col("label") & (F.col("s") >= threshold)).alias("false_accepts"), F.count_if(F.col("label") & (F.col("s") < threshold)).alias("false_rejects"),
+    counts = rows.crossJoin(F.broadcast(worst)).agg(
+        F.count_if(~F.col("label") & (F.col("s") >= threshold)).alias("false_accepts"), F.count_if(F.col("label") & (F.col("s") < threshold)).alias("false_rejects"),
         F.max("worst").alias("worst_negative"), F.count_if(F.col("label") & (F.col("s") <= F.coalesce("worst", F.lit(-1.0)))).alias("lost_above_worst"),
     )
+    return median(rows, "s").crossJoin(F.broadcast(counts))  # one row each
 
 
 def yes_probability(top: Column, yes: str = "yes", no: str = "no") -> Column:

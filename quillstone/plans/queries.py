@@ -16,6 +16,7 @@ from ..functions import vectors as V
 from ..functions.hashing import xxh64_hex
 from ..functions.keeping import shared_folder
 from ..operators import capture, evaluation, hashed, ingest, lexicon, notes, search, store, work
+from ..streaming import note_state
 
 NOW = 1_706_745_600  # 2024-02-01T00:00:00Z
 DIM = 64
@@ -729,6 +730,37 @@ def feedback_votes(spark, d):
 _HOLDS = "((id * 37) % 100) / 100.0::DOUBLE AS holds, ((id * 53) % 100) / 100.0::DOUBLE AS contradiction"
 
 
+@query(
+    """WITH e AS (SELECT user_id AS note_id, floor(epoch(ts))::BIGINT AS sec, CASE event_type WHEN 'purchase' THEN 'helpful' WHEN 'error' THEN 'noise' WHEN 'view' THEN 'touch' ELSE (['stale', 'archive', 'restore'])[event_id % 3 + 1] END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+a AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('archive', 'restore') THEN kind = 'archive' END IGNORE NULLS) OVER (PARTITION BY note_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS away FROM e),
+g AS (SELECT note_id, count(*) FILTER (kind = 'touch') AS access_count, count(*) FILTER (kind = 'helpful') AS helpful_count, count(*) FILTER (kind = 'noise') AS noise_count, max(sec) FILTER (kind = 'helpful') AS helpful_at,
+  arg_max(kind = 'archive', n) FILTER (kind IN ('archive', 'restore')) AS gone, arg_max(CASE WHEN kind = 'stale' THEN sec ELSE -1 END, n) FILTER ((kind = 'stale' AND NOT away) OR (kind = 'restore' AND away)) AS d FROM a GROUP BY 1)
+SELECT note_id, access_count, helpful_count, noise_count, helpful_at, CASE WHEN gone THEN 'archived' WHEN d >= 0 THEN 'stale' ELSE 'live' END AS status, nullif(d, -1) AS stale_at FROM g"""
+)
+def note_stream(spark, d):
+    """All events as a stream in four micro-batches of what happens to notes, with a fifth that has the last one again: the
+    state of each note at the end."""
+    folder = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    kind = F.when(F.col("event_type") == "purchase", "helpful").when(F.col("event_type") == "error", "noise").when(F.col("event_type") == "view", "touch")
+    kind = F.coalesce(kind, F.element_at(F.array(*map(F.lit, ("stale", "archive", "restore"))), (F.col("event_id") % 3 + 1).cast("int")))
+    events = table(spark, d, "events").select(F.col("user_id").alias("note_id"), F.col("event_id").alias("seq"), F.timestamp_seconds(seconds("ts")).alias("at"), kind.alias("kind"))
+    edges = [x for x in events.select(F.unix_seconds("at").alias("s")).approxQuantile("s", [0.25, 0.5, 0.75], 0.01)]  # three times; any will do
+    part = sum((F.when(F.unix_seconds("at") >= int(e), 1).otherwise(0) for e in edges), F.lit(0))
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", note_state.ROCKSDB)
+
+    def store_batch(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    for i in (0, 1, 2, 3, 3):
+        events.where(part == i).write.mode("append").parquet(f"{folder}/in")
+        stream = note_state.note_states(own.readStream.schema(events.schema).parquet(f"{folder}/in"), "1 day")
+        stream.writeStream.foreachBatch(store_batch).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    last = spark.read.parquet(f"{folder}/out").groupBy("note_id").agg(F.max_by(F.struct("access_count", "helpful_count", "noise_count", "helpful_at", "status", "stale_at"), "batch").alias("s"))
+    return last.select("note_id", "s.*")
+
+
 @query(
     f"""{_NOTES}, v AS (SELECT *, CASE WHEN holds >= 0.5 THEN 'holds' WHEN contradiction >= 0.8 THEN 'contradicted' ELSE 'inconclusive' END AS verdict FROM (SELECT *, {_HOLDS} FROM n WHERE status = 'stale'))
 SELECT id, verdict, CASE WHEN verdict = 'holds' THEN 'live' ELSE 'stale' END AS status, CASE WHEN verdict <> 'holds' THEN {NOW} END::BIGINT AS reverified_at, CASE WHEN verdict = 'contradicted' THEN {NOW} ELSE contradicted_at END::BIGINT AS contradicted_at FROM v"""
