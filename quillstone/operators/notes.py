@@ -6,15 +6,17 @@ last_access, access_count, helpful_count, noise_count, stale_at, helpful_at, rev
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import vectors as V
 from ..functions.keeping import keep, with_position
 from .search import nearest, top
 
 DAY = 86_400.0
+EARLIER_BLOCK = 4096  # notes of a batch that meet another block in one task
 
 
 def embed_text(kind: Column, content: Column) -> Column:
@@ -52,12 +54,40 @@ def surprises(new: DataFrame, vectors: DataFrame) -> DataFrame:
     """note_id, surprise of a batch (note_id, seq, embedding): 1 less the best similarity to any stored vector
     or to an earlier one of the batch."""
     old = nearest(new.select(F.col("note_id").alias("query_id"), "embedding"), vectors.select(F.col("note_id").alias("chunk_id"), "embedding"), 1)
-    a, b = new.alias("a"), F.broadcast(new.select(F.col("seq").alias("s"), F.col("embedding").alias("e")))  # one batch of commands
-    among = a.join(b, F.col("s") < F.col("seq")).groupBy("note_id").agg(F.min(V.cosine_distance(F.col("embedding"), F.col("e"))).alias("d"))
-    near = new.select("note_id").join(old.select(F.col("query_id").alias("note_id"), "distance"), "note_id", "left").join(among, "note_id", "left")
+    near = new.select("note_id").join(old.select(F.col("query_id").alias("note_id"), "distance"), "note_id", "left").join(nearest_earlier(new), "note_id", "left")
     return near.select("note_id", clamp(F.coalesce(F.least("distance", "d"), F.lit(1.0)), 0, 2).alias("surprise"))
 
 
+def nearest_earlier(new: DataFrame, block: int = EARLIER_BLOCK) -> DataFrame:
+    """note_id, d: the least cosine distance to a vector of a smaller seq in the batch; no row for the first ones.
+
+    The batch is cut into blocks in the order of seq, and blocks meet in the triangle of earlier against later ones, a cell a task."""
+    own = with_position(new.where("embedding is not null").select("seq", "note_id", "embedding"), [], ["seq", "note_id"])
+    n = own.count()
+    own = own.withColumn("block", F.floor(F.col("position") / block).cast("int"))
+    last = max(0, -(-n // block) - 1)
+    row = lambda low, high, name: F.explode(F.sequence(low, high)).alias(name)
+    later = own.select("seq", "note_id", "embedding", F.col("block").alias("late"), row(F.lit(0), F.col("block"), "early"))
+    earlier = own.select(F.col("seq").alias("before"), F.col("embedding").alias("vector"), F.col("block").alias("early"), row(F.col("block"), F.lit(last), "late"))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["note_id", "d"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        (s, v), (t, w) = ((x.column(i).to_numpy(), np.asarray(x.column(e).combine_chunks().flatten(), np.float64).reshape(x.num_rows, -1)) for x, i, e in ((a, "seq", "embedding"), (b, "before", "vector")))
+        best = np.full(len(s), np.inf)
+        for at in range(0, len(t), 1024):
+            scale = np.outer(np.sqrt((v * v).sum(1)), np.sqrt((w[at : at + 1024] ** 2).sum(1)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.where(scale == 0, 1.0, 1 - (v @ w[at : at + 1024].T) / scale)
+            best = np.minimum(best, np.where(t[None, at : at + 1024] < s[:, None], d, np.inf).min(1))
+        met = np.flatnonzero(best < np.inf)
+        return pa.table([a.column("note_id").cast(pa.int64()).take(met), pa.array(best[met])], names=names)
+
+    cells = later.groupBy("late", "early").cogroup(earlier.groupBy("late", "early")).applyInArrow(cell, "note_id long, d double")
+    return cells.groupBy("note_id").agg(F.min("d").alias("d"))
+
+
 def resolve_anchors(anchors: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(anchors with the hash of their file now, anchors without an indexed file)."""
     met = anchors.join(files.select("repo_id", "relpath", "hash"), ["repo_id", "relpath"], "left")

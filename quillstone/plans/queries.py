@@ -120,6 +120,14 @@ def recall_to_target(spark, d):
     return reached.agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(radius).alias("radius"), F.lit(hashed.plan(DIM, radius) is not None).alias("by_hashing"), "recall")
 
 
+@query(f"{_E} SELECT a.vec_id AS note_id, round(greatest(0, least(2, coalesce(min(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))), 1))), 6) AS surprise FROM e a LEFT JOIN e b ON b.vec_id % 2 = 0 OR b.vec_id < a.vec_id WHERE a.vec_id % 2 = 1 GROUP BY 1")
+def batch_surprise(spark, d):
+    """Odd vectors as a batch of new notes in the order of their ids, against the even ones, which are stored, and each other."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("note_id"), "embedding")
+    new = e.where("note_id % 2 = 1").withColumn("seq", F.col("note_id"))
+    return notes.surprises(new, e.where("note_id % 2 = 0")).select("note_id", F.round("surprise", 6).alias("surprise"))
+
+
 @query()
 def ann_recall_curve(spark, d):
     """Recall of the two-phase scan by the size of its first phase, over every vector whose id is divisible by 20; a vector

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.keeping import keep
 
 
 def glob_pattern(glob: str) -> str:
@@ -46,9 +47,18 @@ def ignore_rules(patterns: list[str]) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """session, line_no (from 1), raw of JSON-lines files, one session a file."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("session"), "value")
-    return raw.select("session", F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1).where("raw <> ''")
+    """session, line_no (from 1), raw of JSON-lines files, one session a file; lines end with \\n, empty ones count but are
+    not among the rows.
+
+    A file is read in many tasks: a line's number is its place in its split, and the lines of the splits before it."""
+    raw = spark.read.text(path, lineSep="\n")
+    parts = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("raw"))
+    placed = keep(parts)  # the numbers of rows hold for one reading
+    splits = placed.groupBy("file", "start").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    number = (F.col("before") + F.col("row") - F.col("first") + 1).cast("int").alias("line_no")
+    return placed.join(splits, ["file", "start"]).select(F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("session"), number, "raw").where("raw <> ''")
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +75,3 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rerank_dump(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query string, candidates array<struct<relpath:string,start:int,end:int,symbol:string,score:double>>, rerank array<struct<index:int,score:double>>").json(path)
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("line_no", F.row_number().over(Window.orderBy(*order)))
