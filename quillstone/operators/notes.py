@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.keeping import keep, with_position
-from .search import nearest, top
+from .search import closest, nearest, top
 
 DAY = 86_400.0
-EARLIER_BLOCK = 4096  # notes of a batch that meet another block in one task
+EARLIER_BLOCK = 8192  # notes of a batch that meet another block in one task
 
 
 def embed_text(kind: Column, content: Column) -> Column:
@@ -67,22 +67,17 @@ def nearest_earlier(new: DataFrame, block: int = EARLIER_BLOCK) -> DataFrame:
     own = own.withColumn("block", F.floor(F.col("position") / block).cast("int"))
     last = max(0, -(-n // block) - 1)
     row = lambda low, high, name: F.explode(F.sequence(low, high)).alias(name)
-    later = own.select("seq", "note_id", "embedding", F.col("block").alias("late"), row(F.lit(0), F.col("block"), "early"))
-    earlier = own.select(F.col("seq").alias("before"), F.col("embedding").alias("vector"), F.col("block").alias("early"), row(F.col("block"), F.lit(last), "late"))
+    later = own.select("note_id", "seq", "embedding", F.col("block").alias("late"), row(F.lit(0), F.col("block"), "early"))
+    earlier = own.select(F.col("note_id").alias("other"), F.col("seq").alias("before"), F.col("embedding").alias("vector"), F.col("block").alias("early"), row(F.col("block"), F.lit(last), "late"))
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         names = ["note_id", "d"]
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        (s, v), (t, w) = ((x.column(i).to_numpy(), np.asarray(x.column(e).combine_chunks().flatten(), np.float64).reshape(x.num_rows, -1)) for x, i, e in ((a, "seq", "embedding"), (b, "before", "vector")))
-        best = np.full(len(s), np.inf)
-        for at in range(0, len(t), 1024):
-            scale = np.outer(np.sqrt((v * v).sum(1)), np.sqrt((w[at : at + 1024] ** 2).sum(1)))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = np.where(scale == 0, 1.0, 1 - (v @ w[at : at + 1024].T) / scale)
-            best = np.minimum(best, np.where(t[None, at : at + 1024] < s[:, None], d, np.inf).min(1))
-        met = np.flatnonzero(best < np.inf)
-        return pa.table([a.column("note_id").cast(pa.int64()).take(met), pa.array(best[met])], names=names)
+        rows = [(x.column(0).to_numpy(), np.asarray(x.column(e).combine_chunks().flatten(), np.float64).reshape(x.num_rows, -1), x.column(1).to_numpy()) for x, e in ((a, "embedding"), (b, "vector"))]
+        (ids, v, s), (own, w, t) = rows
+        met, _, d = closest((ids, v, np.full(len(ids), None)), (own, w, np.full(len(own), None)), 1, order=(s, t))
+        return pa.table([pa.array(ids[met], pa.int64()), pa.array(d)], names=names)
 
     cells = later.groupBy("late", "early").cogroup(earlier.groupBy("late", "early")).applyInArrow(cell, "note_id long, d double")
     return cells.groupBy("note_id").agg(F.min("d").alias("d"))
