@@ -138,7 +138,7 @@ class Store:
         segment = f"{self.folder}/data/segments/v={new.version}"
         L.write_segment(numbered, segment)
         lengths = without("lengths")
-        self._write("lengths", new.version, lengths.unionByName(self.spark.read.parquet(f"{segment}/lengths").select(*lengths.columns)), touched, new.at)
+        self._write("lengths", new.version, lengths.unionByName(L.read_segment(self.spark, segment).lengths.select(*lengths.columns)), touched, new.at)
         new.at["segments", new.version] = new.version
 
         hashes = self._touched("vectors", made)
@@ -158,18 +158,15 @@ class Store:
         """The lexical index as of a commit."""
         commit = commit or self.latest()
         folders = [f"{self.folder}/data/segments/v={v}" for (t, _), v in sorted(commit.at.items()) if t == "segments"]
-        words = [self.spark.read.schema("term string").parquet(f"{f}/vocabulary") for f in folders]
-        vocabulary = reduce(DataFrame.unionByName, words) if words else self.spark.createDataFrame([], "term string")
-        return L.Index(L.read_entries(self.spark, [f"{f}/entries" for f in folders]), vocabulary, self.table("lengths", commit))
+        lengths = self.table("lengths", commit)
+        return L.Index(L.read_words(self.spark, folders).join(lengths, "chunk_id"), lengths)
 
     def merge(self) -> Commit:
         """One segment in place of all, without the entries of chunks that are gone."""
         old = self.latest()
         new = Commit(old.version + 1, old.batch, old.last_chunk, {k: v for k, v in old.at.items() if k[0] != "segments"})
         folder, own = f"{self.folder}/data/segments/v={new.version}", self.index(old)
-        live = own.entries.join(own.lengths.select("chunk_id"), "chunk_id", "left_semi").select(*own.entries.columns)
-        live.repartition("bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/entries")
-        L.read_entries(self.spark, [f"{folder}/entries"]).select("term").distinct().write.mode("overwrite").parquet(f"{folder}/vocabulary")
+        own.words.write.mode("overwrite").parquet(f"{folder}/words")
         new.at["segments", new.version] = new.version
         return self._mark(new)
 

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillstone.operators import hashed, search
+from quillstone.operators import hashed, lexicon, search
 
 
 def vectors(spark, v, key):
@@ -47,3 +47,16 @@ def test_nearest_vectors_of_large_cells_take_little_memory():
     assert peak < 200e6 and len(row) == 4096 * 11
     far = 1 - (q[5] @ v.T) / np.sqrt((q[5] ** 2).sum() * (v * v).sum(1))
     assert ids[row == 5].tolist() == np.argsort(far)[:11].tolist()
+
+
+def test_a_lexical_search_shuffles_only_what_it_keeps(spark, tmp_path):
+    words = "alpha beta gamma delta back off retry src 1".split()
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(words, 30)), f"d/{i % 3}/f{i}") for i in range(120)] + [(500, None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, relpath string").withColumn("symbol", F.col("relpath"))
+    queries = spark.createDataFrame([(1, "back_off alph be"), (2, "src_1 src_1 gamma"), (3, "zzz"), (4, "")], "query_id long, query string")
+    lexicon.write_segment(chunks, str(tmp_path))
+    found = lexicon.search_index(queries, lexicon.read_segment(spark, str(tmp_path)), 7)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    plain = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 5), r["rank"]) for r in df.collect())
+    assert plain(found) == plain(search.lexical(queries, chunks, 7)) and {r[0] for r in plain(found)} == {1, 2}
