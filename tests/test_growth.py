@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillstone.operators import hashed, lexicon, search
+from quillstone.operators import chunking, hashed, lexicon, search
 
 
 def vectors(spark, v, key):
@@ -60,3 +60,23 @@ def test_a_lexical_search_shuffles_only_what_it_keeps(spark, tmp_path):
     assert "Join" not in found._jdf.queryExecution().toString()
     plain = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 5), r["rank"]) for r in df.collect())
     assert plain(found) == plain(search.lexical(queries, chunks, 7)) and {r[0] for r in plain(found)} == {1, 2}
+
+
+def test_queries_of_the_same_words_are_expanded_once(spark):
+    symbols = spark.createDataFrame([(f"Item > {a} part{i}",) for i in range(40) for a in ("red", "blue")], "symbol string")
+    queries = spark.createDataFrame([(i, "blue part7" if i % 2 else "red  part7") for i in range(50)] + [(90, "nothing"), (91, None)], "query_id long, query string")
+    found = search.expand_symbols(queries, symbols)
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in x]
+    assert windows and not any("query_id" in x for x in windows)
+    got = {r.query_id: r.expansions for r in found.collect()}
+    assert got.keys() == set(range(50)) and got[1] == got[49] != got[0] == got[48] and all(len(x) == 8 for x in got.values())
+
+
+def test_chunks_are_handed_on_in_small_parts(spark, monkeypatch):
+    rows = [("r", f"f{i}.md", "\n".join(f"line {i} {j}" for j in range(i * 7))) for i in range(30)] + [("r", "none.md", None), (None, "x.py", "def f():\n    return 1\n")]
+    files = spark.createDataFrame(rows, "repo_key string, relpath string, content string").coalesce(1)
+    want = sorted(((k or "", p, s, c["start_line"], c["end_line"], c["symbol"] or "", c["content"]) for k, p, t in rows for s, c in enumerate(chunking.chunk_file(p, t))))
+    for letters in (1, 300, 1 << 22):
+        monkeypatch.setattr(chunking, "CUT_LETTERS", letters)
+        found = chunking.chunk_files(files)
+        assert sorted((r[0] or "", *r[1:5], r[5] or "", r[6]) for r in found.collect()) == want
