@@ -18,6 +18,7 @@ from .. import constants as K
 
 STATE = "note_id long, access_count long, helpful_count long, noise_count long, salience_factor double, helpful_at long, status string, stale_at long"
 SETTLED = "access long, helpful long, noise long, helpful_at long, status string, stale_at long, upto_ms long"
+WAITING = "ms array<long>, seq array<long>, kind array<string>"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,34 +47,47 @@ class NoteState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.settled = handle.getValueState("settled", SETTLED)
-        self.waiting = handle.getMapState("waiting", "ms long, seq long", "kind string")
+        self.waiting = handle.getValueState("waiting", WAITING)
 
     def _settled(self) -> dict:
         return dict(zip(self.NAMES, self.settled.get() if self.settled.exists() else (0, 0, 0, None, "live", None, -(1 << 62))))
 
+    def _waiting(self) -> dict:
+        """The kinds of the events that wait, by time and number: one value, so that a call reads or writes all of them."""
+        return {(ms, seq): kind for ms, seq, kind in zip(*self.waiting.get())} if self.waiting.exists() else {}
+
+    def _wait(self, waiting: dict) -> None:
+        if waiting:
+            self.waiting.update(([ms for ms, _ in waiting], [seq for _, seq in waiting], list(waiting.values())))
+        else:
+            self.waiting.clear()
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        s, last = self._settled(), None
+        s, waiting, last = self._settled(), self._waiting(), None
         for pdf in rows:
             for ms, seq, kind in zip(pdf["ms"].tolist(), pdf["seq"].tolist(), pdf["kind"].tolist()):
                 if ms > s["upto_ms"]:  # what is settled has come before
-                    self.waiting.updateValue((ms, seq), (kind,))
+                    waiting[ms, seq] = kind
                     last = ms if last is None else max(last, ms)
         if last is not None:
             self.handle.registerTimer(last + 1)
-        for (ms, _), (kind,) in sorted(((tuple(k), tuple(v)) for k, v in self.waiting.iterator()), key=lambda e: e[0]):
-            act(s, ms, kind)
+            self._wait(waiting)
+        for ms, seq in sorted(waiting):
+            act(s, ms, waiting[ms, seq])
         yield pd.DataFrame({
             "note_id": [key[0]], "access_count": [s["access"]], "helpful_count": [s["helpful"]], "noise_count": [s["noise"]], "salience_factor": [K.NOISE_DECAY ** s["noise"]],
             "helpful_at": pd.array([s["helpful_at"]], "Int64"), "status": [s["status"]], "stale_at": pd.array([s["stale_at"]], "Int64"),
         })
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        s, passed = self._settled(), timerValues.getCurrentWatermarkInMs()
-        for (ms, seq), (kind,) in sorted(((tuple(k), tuple(v)) for k, v in self.waiting.iterator()), key=lambda e: e[0]):
-            if ms < passed:
-                act(s, ms, kind)
-                s["upto_ms"] = max(s["upto_ms"], ms)
-                self.waiting.removeKey((ms, seq))
+        s, waiting, passed = self._settled(), self._waiting(), timerValues.getCurrentWatermarkInMs()
+        due = sorted(e for e in waiting if e[0] < passed)
+        if not due:
+            return iter(())
+        for ms, seq in due:
+            act(s, ms, waiting.pop((ms, seq)))
+        s["upto_ms"] = max(s["upto_ms"], due[-1][0])
+        self._wait(waiting)
         self.settled.update(tuple(s[n] for n in self.NAMES))
         return iter(())
 

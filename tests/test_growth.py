@@ -3,9 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from quillstone.functions.keeping import with_position
 from quillstone.operators import chunking, hashed, lexicon, search
+from quillstone.streaming import note_state
 
 
 def vectors(spark, v, key):
@@ -80,3 +83,52 @@ def test_chunks_are_handed_on_in_small_parts(spark, monkeypatch):
         monkeypatch.setattr(chunking, "CUT_LETTERS", letters)
         found = chunking.chunk_files(files)
         assert sorted((r[0] or "", *r[1:5], r[5] or "", r[6]) for r in found.collect()) == want
+
+
+class Value:
+    """A state that counts what it is asked."""
+
+    def __init__(self, calls):
+        self.held, self.calls = None, calls
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.held is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+
+def test_events_of_a_note_cost_no_call_each():
+    calls = []
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value(calls)
+
+        def registerTimer(self, _):
+            calls.append("timer")
+
+    own = note_state.NoteState()
+    own.init(Handle())
+    rows = pd.DataFrame({"ms": range(0, 500_000, 1000), "seq": range(500), "kind": ["touch"] * 500})
+    (out,) = own.handleInputRows((7,), iter([rows, rows]), None)
+    assert out["access_count"].tolist() == [500] and len(calls) < 10
+    own.handleExpiredTimer((7,), type("T", (), {"getCurrentWatermarkInMs": lambda _: 400_000})(), None)
+    (out,) = own.handleInputRows((7,), iter([rows]), None)
+    assert out["access_count"].tolist() == [500] and len(own._waiting()) == 100
+
+
+def test_positions_are_kept_as_compressed_columns(spark):
+    df = spark.createDataFrame([(i % 7, i, "text " * 50) for i in range(300)], "g int, i int, t string")
+    found = with_position(df, [], ["g", "i"])
+    assert "parquet" in found._jdf.queryExecution().toString() and "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert [r.i for r in found.orderBy("position").collect()] == sorted(range(300), key=lambda i: (i % 7, i))
