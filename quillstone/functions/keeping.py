@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,16 +26,25 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written once to the shared folder as compressed columns and read from there; for rows that hold texts."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_position(rows: DataFrame, group: list[str], order: list[str], name: str = "position") -> DataFrame:
     """`rows` with their number within the group, from 0, in the given order (which must be of distinct rows).
 
     Rows are dealt out by range and numbered in their task; a task's first number is the sum of the counts before it.  No
     task holds a group; the window is over one row for each task that has some of the group."""
     dealt = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    placed = keep(dealt.withColumns({"__task": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
+    placed = stored(dealt.withColumns({"__task": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
     counts = placed.groupBy(*group, "__task").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
     earlier = Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*group, "__task", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    if not group:
+        counts = F.broadcast(counts)  # a row for each task
     numbered = placed.join(counts, [*group, "__task"]).withColumn(name, F.col("__before") + F.col("__row") - F.col("__first"))
     return numbered.select(*rows.columns, name)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import xxh64_hex
-from ..functions.keeping import keep, with_position
+from ..functions.keeping import keep, stored, with_position
 from . import lexicon as L
 from . import notes as N
 from .ingest import Embedder, embed_with, prepare
@@ -104,7 +104,7 @@ class Store:
         """Rows of a table (notes, anchors) in place of those with the same key, or beside them."""
         old = self.latest()
         new = Commit(old.version + 1, old.batch, old.last_chunk, dict(old.at))
-        rows = keep(rows)
+        rows = stored(rows)
         touched = self._touched(name, rows)
         there = self.table(name, old, touched)
         if whole_keys:
@@ -122,7 +122,7 @@ class Store:
             return old
         new = Commit(old.version + 1, old.batch if batch is None else batch, old.last_chunk, dict(old.at))
         keys = KEYS["files"]
-        uploads = keep(uploads.select(*keys, "content", "mtime_ms", xxh64_hex(F.col("content")).alias("hash")))
+        uploads = stored(uploads.select(*keys, "content", "mtime_ms", xxh64_hex(F.col("content")).alias("hash")))
         gone = uploads.select(*keys).unionByName(deletes.select(*keys)).distinct()
         touched = self._touched("files", gone)
         without = lambda name: self.table(name, old, touched).join(gone, keys, "left_anti")
@@ -130,8 +130,8 @@ class Store:
         rows = uploads.select(*keys, "hash", F.octet_length("content").cast("long").alias("size"), "mtime_ms")
         self._write("files", new.version, without("files").unionByName(rows), touched, new.at)
 
-        made = keep(prepare(uploads.drop("hash", "mtime_ms")).join(uploads.select(*keys, "mtime_ms"), keys))
-        numbered = with_position(made, [], [*keys, "seq"]).withColumn("chunk_id", F.col("position") + 1 + old.last_chunk)
+        made = stored(prepare(uploads.drop("hash", "mtime_ms")).join(uploads.select(*keys, "mtime_ms"), keys))
+        numbered = with_position(made.drop("input"), [], [*keys, "seq"]).withColumn("chunk_id", F.col("position") + 1 + old.last_chunk)
         chunks = without("chunks")
         self._write("chunks", new.version, chunks.unionByName(numbered.select(*chunks.columns)), touched, new.at)
         new.last_chunk += made.count()
@@ -143,7 +143,7 @@ class Store:
 
         hashes = self._touched("vectors", made)
         known = self.table("vectors", old, hashes)
-        missing = keep(made.select("content_hash", "input").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti"))
+        missing = stored(made.select("content_hash", "input").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti"))
         fresh = self._touched("vectors", missing)
         embedded = missing.select("content_hash", embed_with(embedder)(F.col("input")).alias("embedding"))
         self._write("vectors", new.version, self.table("vectors", old, fresh).unionByName(embedded), fresh, new.at)
