@@ -1,13 +1,14 @@
 """The index kept in a folder: a commit writes the buckets it touches, and its mark last.
 
-Every table is dealt into buckets by a hash of its key.  A commit reads and writes only the buckets that its rows fall
-into, under a new version; a bucket nobody touched stays where it is.  The commit's own table, one small file that appears
+Tables without texts are dealt into buckets by a hash of their key.  A commit reads and writes only the buckets that its rows
+fall into, under a new version; a bucket nobody touched stays where it is.  The commit's own table, one small file that appears
 at once, says for each bucket of each table under which version it lies; before it is there, readers see the state before.
 A commit that was broken off leaves data that nothing names, and is written over when it is tried again.  The number
 of the last micro-batch is part of the commit, so a batch that comes again changes nothing.  There is one writer at a time.
 
-Tables: files (repo_key, relpath), chunks and lengths (same key), vectors (content_hash), anchors (repo_key, relpath) and
-notes (id).  The lexical index has a segment for each commit (see lexicon), until `merge` puts them together.
+Tables: files (repo_key, relpath), lengths (same key), vectors (content_hash), anchors (repo_key, relpath) and notes (id).
+Chunks and the lexical index (see lexicon) have a segment for each commit, until `merge` puts them together: texts are dealt out
+once, in path order, and written once, and a commit rewrites none.  A chunk without a length is gone.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import xxh64_hex
-from ..functions.keeping import keep, stored, with_position
+from ..functions.keeping import keep, stored
 from . import lexicon as L
 from . import notes as N
-from .ingest import Embedder, embed_with, prepare
+from .chunking import chunk_files
+from .ingest import Embedder, embed_input, embed_with
 
 SCHEMAS = {
     "files": "repo_key string, relpath string, hash string, size long, mtime_ms long",
@@ -33,10 +35,30 @@ SCHEMAS = {
     "anchors": "repo_key string, relpath string, hash string, note_id long",
     "notes": "id long, repo_id long, kind string, content string, salience double, status string, superseded_by long, created_at long, last_access long, access_count long, helpful_count long, noise_count long, source string, stale_at long, helpful_at long, reverified_at long, contradicted_at long",
 }
+# A segment of texts: a row without seq for each file, then its chunks; ids begin at `start` in each task that wrote it.
+_TEXTS = "repo_key string, relpath string, mtime_ms long, hash string, size long, task int, seq int, start_line int, end_line int, symbol string, content string, number long, content_hash string"
+_STARTS = "task int, start long"
+_CODEC = "zstd"
+_FEW = 250_000  # ids that are broadcast
 KEYS = {"files": ["repo_key", "relpath"], "lengths": ["repo_key", "relpath"], "chunks": ["repo_key", "relpath"], "anchors": ["repo_key", "relpath"], "vectors": ["content_hash"], "notes": ["id"]}
 _COMMIT = "version long, batch long, last_chunk long, table string, bucket int, at long"
 
 
+def _input() -> Column:
+    return embed_input(F.col("repo_key"), F.col("relpath"), F.col("symbol"), F.col("content"))
+
+
+def _only(chunks: DataFrame, ids: DataFrame, total: int) -> DataFrame:
+    """Those of `total` chunks whose chunk_id is among `ids`; the texts stay where they are unless ids and rest are both many."""
+    n = ids.count()
+    if n == total:
+        return chunks
+    if total - n < n:
+        rest = stored(chunks.select("chunk_id").join(ids, "chunk_id", "left_anti"))
+        return chunks.join(F.broadcast(rest) if total - n <= _FEW else rest, "chunk_id", "left_anti")
+    return chunks.join(F.broadcast(ids) if n <= _FEW else ids, "chunk_id", "left_semi")
+
+
 @dataclass
 class Commit:
     """A version, the last micro-batch in it, the largest chunk id so far, and where each bucket lies."""
@@ -73,9 +95,32 @@ class Store:
         """A table as of a commit, or those buckets of it."""
         commit = commit or self.latest()
         paths = [f"{self.folder}/data/{name}/v={v}/bucket={b}" for (t, b), v in sorted(commit.at.items()) if t == name and (buckets is None or b in buckets)]
-        if not paths:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+        if name != "chunks":
+            return rows
+        segments = [v for (t, _), v in sorted(commit.at.items()) if t == "texts"]
+        if segments:  # folders from before there were segments have buckets
+            rows = rows.unionByName(self._texts(segments)) if paths else self._texts(segments)
+        return rows.join(self.table("lengths", commit).select("chunk_id"), "chunk_id", "left_semi").select(*rows.columns)
+
+    def _texts(self, versions: list[int]) -> DataFrame:
+        """The chunks of segments, those that are gone too."""
+        read = lambda name, schema: self.spark.read.option("basePath", f"{self.folder}/data/{name}").schema(f"{schema}, v long").parquet(*[f"{self.folder}/data/{name}/v={v}" for v in versions])
+        starts = F.broadcast(read("starts", _STARTS))  # a row for each task that wrote
+        rows = read("texts", _TEXTS).where("seq is not null").join(starts, ["v", "task"]).withColumn("chunk_id", F.col("start") + F.col("number"))
+        return rows.select(*[c.split()[0] for c in SCHEMAS["chunks"].split(", ")])
+
+    def _write_segment(self, name: str, version: int, rows: DataFrame, schema: str) -> None:
+        rows.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/data/{name}/v={version}", compression=_CODEC)
+
+    def _cut(self, uploads: DataFrame) -> DataFrame:
+        """Rows of a segment of texts; files without a key have no chunks."""
+        keys = KEYS["files"]
+        dealt = uploads.select(*keys, "content", "mtime_ms").repartitionByRange(*keys).sortWithinPartitions(*keys)
+        told = dealt.withColumns({"hash": xxh64_hex(F.col("content")), "size": F.octet_length("content").cast("long"), "task": F.spark_partition_id()})
+        named = told.withColumn("content", F.when(F.col("repo_key").isNotNull() & F.col("relpath").isNotNull(), F.col("content")))
+        rows = chunk_files(named, also=["mtime_ms", "hash", "size", "task"], numbered=True)
+        return rows.withColumn("content_hash", xxh64_hex(_input()))
 
     def _touched(self, name: str, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self.bucket(name)).distinct().collect())  # at most `buckets`
@@ -122,34 +167,36 @@ class Store:
             return old
         new = Commit(old.version + 1, old.batch if batch is None else batch, old.last_chunk, dict(old.at))
         keys = KEYS["files"]
-        uploads = stored(uploads.select(*keys, "content", "mtime_ms", xxh64_hex(F.col("content")).alias("hash")))
-        gone = uploads.select(*keys).unionByName(deletes.select(*keys)).distinct()
+        self._write_segment("texts", new.version, self._cut(uploads), _TEXTS)
+        laid = self.spark.read.schema(_TEXTS).parquet(f"{self.folder}/data/texts/v={new.version}")
+        files = laid.where("seq is null").select(*keys, "hash", "size", "mtime_ms")
+        gone = files.select(*keys).unionByName(deletes.select(*keys)).distinct()
         touched = self._touched("files", gone)
         without = lambda name: self.table(name, old, touched).join(gone, keys, "left_anti")
-
-        rows = uploads.select(*keys, "hash", F.octet_length("content").cast("long").alias("size"), "mtime_ms")
-        self._write("files", new.version, without("files").unionByName(rows), touched, new.at)
-
-        made = stored(prepare(uploads.drop("hash", "mtime_ms")).join(uploads.select(*keys, "mtime_ms"), keys))
-        numbered = with_position(made.drop("input"), [], [*keys, "seq"]).withColumn("chunk_id", F.col("position") + 1 + old.last_chunk)
-        chunks = without("chunks")
-        self._write("chunks", new.version, chunks.unionByName(numbered.select(*chunks.columns)), touched, new.at)
-        new.last_chunk += made.count()
+        self._write("files", new.version, without("files").unionByName(files), touched, new.at)
+
+        counts = laid.where("seq is not null").groupBy("task").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.select("task", (before + old.last_chunk + 1).alias("start"))
+        self._write_segment("starts", new.version, starts.coalesce(1), _STARTS)
+        new.at["texts", new.version] = new.version
+        made = self._texts([new.version])
+        new.last_chunk += laid.where("seq is not null").count()
         segment = f"{self.folder}/data/segments/v={new.version}"
-        L.write_segment(numbered, segment)
+        L.write_segment(made, segment, codec=_CODEC)
         lengths = without("lengths")
         self._write("lengths", new.version, lengths.unionByName(L.read_segment(self.spark, segment).lengths.select(*lengths.columns)), touched, new.at)
         new.at["segments", new.version] = new.version
 
-        hashes = self._touched("vectors", made)
-        known = self.table("vectors", old, hashes)
-        missing = stored(made.select("content_hash", "input").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti"))
+        known = self.table("vectors", old, self._touched("vectors", made)).select("content_hash")
+        missing = stored(made.groupBy("content_hash").agg(F.min("chunk_id").alias("chunk_id")).join(known, "content_hash", "left_anti"))
         fresh = self._touched("vectors", missing)
-        embedded = missing.select("content_hash", embed_with(embedder)(F.col("input")).alias("embedding"))
+        asked = _only(made, missing.select("chunk_id"), new.last_chunk - old.last_chunk)
+        embedded = asked.select("content_hash", embed_with(embedder)(_input()).alias("embedding"))
         self._write("vectors", new.version, self.table("vectors", old, fresh).unionByName(embedded), fresh, new.at)
 
         anchors = self.table("anchors", old, touched).withColumnRenamed("hash", "was")
-        drifted = keep(anchors.join(uploads.select(*keys, "hash"), keys).where("hash <> was").select("note_id").distinct())
+        drifted = keep(anchors.join(files.select(*keys, "hash"), keys).where("hash <> was").select("note_id").distinct())
         due = self._touched("notes", drifted.withColumnRenamed("note_id", "id"))
         self._write("notes", new.version, N.mark_stale(self.table("notes", old, due), drifted, now), due, new.at)
         return self._mark(new)
@@ -162,12 +209,16 @@ class Store:
         return L.Index(L.read_words(self.spark, folders).join(lengths, "chunk_id"), lengths)
 
     def merge(self) -> Commit:
-        """One segment in place of all, without the entries of chunks that are gone."""
+        """One segment in place of all, without the chunks that are gone and their entries."""
         old = self.latest()
-        new = Commit(old.version + 1, old.batch, old.last_chunk, {k: v for k, v in old.at.items() if k[0] != "segments"})
+        new = Commit(old.version + 1, old.batch, old.last_chunk, {k: v for k, v in old.at.items() if k[0] not in ("segments", "texts", "chunks")})
         folder, own = f"{self.folder}/data/segments/v={new.version}", self.index(old)
-        own.words.write.mode("overwrite").parquet(f"{folder}/words")
+        own.words.write.mode("overwrite").parquet(f"{folder}/words", compression=_CODEC)
         new.at["segments", new.version] = new.version
+        rows = self.table("chunks", old).withColumns({"hash": F.lit(None).cast("string"), "size": F.lit(None).cast("long"), "task": F.lit(0), "number": F.col("chunk_id")})
+        self._write_segment("texts", new.version, rows, _TEXTS)
+        self._write_segment("starts", new.version, self.spark.createDataFrame([(0, 0)], _STARTS).coalesce(1), _STARTS)
+        new.at["texts", new.version] = new.version
         return self._mark(new)
 
     def searchable(self, commit: Commit | None = None) -> DataFrame:
