@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.hashing import truncate_utf8, xxh64_hex
+from ..functions.hashing import cut_bytes, truncate_utf8, xxh64_hex
 from .batches import sync_batches, sync_requests  # noqa: F401  part of the ingest
 from .chunking import chunk_files
 
@@ -71,6 +71,11 @@ def embed_input(repo: Column, relpath: Column, symbol: Column, content: Column)
     return truncate_utf8(K.EMBED_BYTES)(F.concat(F.concat_ws(" > ", repo, relpath, symbol), F.lit("\n"), content))
 
 
+def embed_text(repo: str | None, relpath: str | None, symbol: str | None, content: str) -> str:
+    """`embed_input` of one chunk."""
+    return cut_bytes(" > ".join(x for x in (repo, relpath, symbol) if x is not None) + "\n" + content, K.EMBED_BYTES)
+
+
 def manifest_diff(disk: DataFrame, stored: DataFrame, full: bool = False) -> DataFrame:
     """relpath, action (delete, unchanged, upsert) of two manifests (relpath, hash)."""
     d, s = disk.select("relpath", F.col("hash").alias("now")), stored.select("relpath", F.col("hash").alias("was"))

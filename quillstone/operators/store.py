@@ -13,19 +13,20 @@ once, in path order, and written once, and a commit rewrites none.  A chunk with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import xxh64_hex
 from ..functions.keeping import keep, stored
 from . import lexicon as L
 from . import notes as N
-from .chunking import chunk_files
-from .ingest import Embedder, embed_input, embed_with
+from .chunking import cutter
+from .ingest import Embedder, embed_input, embed_text, embed_with
 
 SCHEMAS = {
     "files": "repo_key string, relpath string, hash string, size long, mtime_ms long",
@@ -48,6 +49,32 @@ def _input() -> Column:
     return embed_input(F.col("repo_key"), F.col("relpath"), F.col("symbol"), F.col("content"))
 
 
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files -> rows of a segment of texts; files without a key have no chunks.  One Python process does it all."""
+    import xxhash
+
+    def hashed() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("content").cast(pa.binary())
+            named = pc.and_(pc.is_valid(batch.column("repo_key")), pc.is_valid(batch.column("relpath")))
+            own = {c: batch.column(c) for c in ("repo_key", "relpath", "mtime_ms", "task")}
+            own["hash"] = pa.array([xxhash.xxh64_hexdigest(x.as_buffer()) if x.is_valid else None for x in raw], pa.string())
+            own["size"] = pc.binary_length(raw).cast(pa.int64())
+            own["content"] = pc.if_else(named, batch.column("content"), None)
+            yield pa.RecordBatch.from_pydict(own)
+
+    for batch in cutter(["repo_key", "relpath", "mtime_ms", "hash", "size", "task"], numbered=True)(hashed()):
+        parts = zip(*[batch.column(c) for c in ("repo_key", "relpath", "symbol", "content")])
+        told = [xxhash.xxh64_hexdigest(embed_text(*[x.as_py() for x in p]).encode()) if p[3].is_valid else None for p in parts]
+        yield batch.append_column("content_hash", pa.array(told, pa.string())).select([c.split()[0] for c in _TEXTS.split(", ")])
+
+
+def _cut(uploads: DataFrame) -> DataFrame:
+    keys = KEYS["files"]
+    dealt = uploads.select(*keys, "content", F.col("mtime_ms").cast("long").alias("mtime_ms")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return dealt.withColumn("task", F.spark_partition_id()).mapInArrow(_laid, _TEXTS)
+
+
 def _only(chunks: DataFrame, ids: DataFrame, total: int) -> DataFrame:
     """Those of `total` chunks whose chunk_id is among `ids`; the texts stay where they are unless ids and rest are both many."""
     n = ids.count()
@@ -113,15 +140,6 @@ class Store:
     def _write_segment(self, name: str, version: int, rows: DataFrame, schema: str) -> None:
         rows.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/data/{name}/v={version}", compression=_CODEC)
 
-    def _cut(self, uploads: DataFrame) -> DataFrame:
-        """Rows of a segment of texts; files without a key have no chunks."""
-        keys = KEYS["files"]
-        dealt = uploads.select(*keys, "content", "mtime_ms").repartitionByRange(*keys).sortWithinPartitions(*keys)
-        told = dealt.withColumns({"hash": xxh64_hex(F.col("content")), "size": F.octet_length("content").cast("long"), "task": F.spark_partition_id()})
-        named = told.withColumn("content", F.when(F.col("repo_key").isNotNull() & F.col("relpath").isNotNull(), F.col("content")))
-        rows = chunk_files(named, also=["mtime_ms", "hash", "size", "task"], numbered=True)
-        return rows.withColumn("content_hash", xxh64_hex(_input()))
-
     def _touched(self, name: str, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self.bucket(name)).distinct().collect())  # at most `buckets`
 
@@ -167,7 +185,7 @@ class Store:
             return old
         new = Commit(old.version + 1, old.batch if batch is None else batch, old.last_chunk, dict(old.at))
         keys = KEYS["files"]
-        self._write_segment("texts", new.version, self._cut(uploads), _TEXTS)
+        self._write_segment("texts", new.version, _cut(uploads), _TEXTS)
         laid = self.spark.read.schema(_TEXTS).parquet(f"{self.folder}/data/texts/v={new.version}")
         files = laid.where("seq is null").select(*keys, "hash", "size", "mtime_ms")
         gone = files.select(*keys).unionByName(deletes.select(*keys)).distinct()
